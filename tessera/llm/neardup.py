@@ -29,9 +29,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .spill import cut
 from .textkit import mix64, passes, word_hashes
@@ -41,6 +42,8 @@ RADIUS = 19
 BAND_RADII = (2, 2, 2, 2, 1, 1, 1, 1)
 LEAF_CODES = 48
 PAIRS_AT_ONCE = 2_000_000
+#: Ids (16 bytes each in a hash relation) up to which an anti-join broadcasts them.
+BROADCAST_IDS = 2_000_000
 
 
 def fingerprints(texts: pa.Array) -> np.ndarray:
@@ -65,7 +68,7 @@ def fingerprints(texts: pa.Array) -> np.ndarray:
     return out
 
 
-@arrow_udf("struct<hi:bigint,lo:bigint>")
+@arrow_udf(StructType([StructField("hi", LongType()), StructField("lo", LongType())]))
 def _fingerprint(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for texts in batches:
         f = fingerprints(texts).view(np.int64)
@@ -288,8 +291,17 @@ def components(edges: DataFrame, most: int = 40) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, kept_doc_id): one row for each document that goes, with the document of its group that stays."""
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), fingerprint(F.col(text_col)).alias("f"))
-    rows = cut(rows.where("f is not null").select("id", "f.hi", "f.lo"), "prints")
+    return _grouped(_prints(docs, id_col, text_col))
+
+
+def _prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, hi, lo) of every row with an id; the fingerprint is null for texts without words."""
+    rows = docs.where(docs[id_col].isNotNull()).select(docs[id_col].cast("bigint").alias("id"), fingerprint(docs[text_col]).alias("f"))
+    return cut(rows.select("id", "f.hi", "f.lo"), "prints")
+
+
+def _grouped(prints: DataFrame) -> DataFrame:
+    rows = prints.where("hi is not null")
     groups = cut(rows.groupBy("hi", "lo").agg(F.min("id").alias("id")), "groups")
     copies = rows.join(groups.withColumnRenamed("id", "v"), ["hi", "lo"]).where("id > v").select(F.col("id").alias("u"), "v")
     found = components(copies.unionByName(near_edges(groups)))
@@ -297,6 +309,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` without the documents that near_duplicates lists; columns as they are."""
-    gone = near_duplicates(docs, id_col, text_col).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    """`docs` without the documents that near_duplicates lists, and with one row for each id; columns as they are."""
+    prints = _prints(docs, id_col, text_col)
+    gone = cut(_grouped(prints).select(F.col("doc_id").alias("gone")), "gone")
+    repeated = cut(prints.groupBy("id").count().where("count > 1").select(F.col("id").alias("gone")), "repeated")
+    kept = without(docs, gone, id_col)
+    if repeated.isEmpty():
+        return kept
+    once = docs.join(repeated, docs[id_col] == repeated["gone"], "left_semi").dropDuplicates([id_col])
+    return without(kept, repeated, id_col).unionByName(without(once, gone, id_col))
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """Anti-join on `gone`; it is broadcast while it has at most BROADCAST_IDS rows, so that texts aren't shuffled."""
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, docs[id_col] == gone["gone"], "left_anti")
+
+
+def op3_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+QUERIES = {"op3_simhash_near_duplicates": op3_simhash_near_duplicates}
+ORACLE_SQL: dict[str, str] = {}
