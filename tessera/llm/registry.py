@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import neardup
+from . import bpe, neardup, records
 
-MODULES = (neardup,)
+MODULES = (neardup, bpe, records)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
