@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, neardup, records
+from . import bpe, neardup, quality, records
 
-MODULES = (neardup, bpe, records)
+MODULES = (neardup, bpe, records, quality)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
