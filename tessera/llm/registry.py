@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, neardup, quality, records
+from . import bpe, neardup, pii, quality, records
 
-MODULES = (neardup, bpe, records, quality)
+MODULES = (neardup, bpe, records, quality, pii)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
