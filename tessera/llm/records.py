@@ -27,7 +27,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import VOCABULARY, ragged, vocabulary
+from .bpe import PASS, VOCABULARY, ragged, vocabulary
 from .spill import fresh_path
 from .textkit import passes
 
@@ -153,7 +153,7 @@ def write_records(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col
         name, sink, at = f"{uuid.uuid4().hex}.rec", None, 0
         for batch in batches:
             where = 0
-            for texts in passes(batch.column(1), 8 << 20):
+            for texts in passes(batch.column(1), PASS):
                 doc_id = batch.column(0).slice(where, len(texts)).to_numpy()
                 where += len(texts)
                 if sink is None:
