@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, neardup, pii, quality, records
+from . import bpe, neardup, pii, quality, records, toxicity
 
-MODULES = (neardup, bpe, records, quality, pii)
+MODULES = (neardup, bpe, records, quality, pii, toxicity)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
