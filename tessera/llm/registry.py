@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, neardup, pii, quality, records, toxicity
+from . import bpe, neardup, packing, pii, quality, records, topk, toxicity
 
-MODULES = (neardup, bpe, records, quality, pii, toxicity)
+MODULES = (neardup, bpe, records, quality, pii, toxicity, packing, topk)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
