@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, neardup, packing, pii, quality, records, topk, toxicity
+from . import bpe, divergence, neardup, packing, pii, quality, records, topk, toxicity, urls
 
-MODULES = (neardup, bpe, records, quality, pii, toxicity, packing, topk)
+MODULES = (neardup, bpe, records, quality, pii, toxicity, packing, topk, urls, divergence)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
