@@ -1,19 +1,49 @@
-"""A corpus from raw documents to packed training sequences, stage by stage."""
+"""A corpus from raw documents to packed training sequences, stage by stage.
+
+Every stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept and
+returns a DataFrame, which is written and read again as the next one's docs. All but the
+last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import spill
-from tessera.llm.neardup import drop_near_duplicates
+from tessera.llm import neardup, packing, pii, quality, spill, toxicity
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the compression classifier rejects go."""
+    return quality.good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Toxic documents go."""
+    return toxicity.civil_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies."""
-    return drop_near_duplicates(docs)
+    """One document of each group of near copies stays."""
+    return neardup.drop_near_duplicates(docs)
+
+
+def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and secrets are replaced by their kind; n_chars follows."""
+    return pii.redact_documents(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' ids and pieces, packed into training sequences."""
+    return packing.pack(docs, packing.byte_tokens(docs["text"]))
 
 
-STAGES = [("simhash_near_dedup", near_duplicates)]
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("toxicity", toxicity_filter),
+    ("simhash_near_dedup", near_duplicates),
+    ("pii", redact_pii),
+    ("best_fit_packing", pack_sequences),
+]
 
 #: The stages fit models, group by fingerprints and pack by a genetic search: SQL can't express them.
 ORACLE_SQL = None
