@@ -39,6 +39,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
@@ -51,6 +52,8 @@ from .textkit import passes, sequence_hashes, word_hashes
 SAMPLE_ROWS = 20_000
 THRESHOLD = 1.0
 LEAST_TEXTS = 3
+#: Entries that a task counts before it passes them on.
+HELD = 100_000
 LEAST_ODDS, STEM_ODDS = 3.5, 4.5
 LEAST_EVIDENCE, STEM_EVIDENCE, RARE_EVIDENCE = 20.0, 40.0, 8.0
 FULL_ODDS = 4.0
@@ -253,23 +256,33 @@ def beginnings(text: str) -> set[str]:
     return out
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[tuple[str, str], list[int]] = {}
-    for batch in batches:
-        for lang, text, y in zip(*(batch.column(c).to_pylist() for c in ("lang", "text", "y")), strict=True):
-            for b in beginnings(text):
-                held.setdefault((lang, b), [0, 0])[y] += 1
-        if len(held) > 500_000:
-            yield _counted(held)
-            held = {}
-    yield _counted(held)
+def _count(wanted: Broadcast | None):
+    """Counts texts by language and beginning: of all, or only of those that are wanted."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only = wanted.value if wanted else None
+        held: dict[tuple[str, str], int] = {}
+        for batch in batches:
+            for lang, text in zip(batch.column(0), batch.column(1), strict=True):
+                lang = lang.as_py()
+                for b in beginnings(text.as_py()):
+                    key = (lang, b)
+                    if only is None or key in only:
+                        held[key] = held.get(key, 0) + 1
+                if len(held) > HELD and only is None:
+                    yield _counted(held)
+                    held = {}
+        yield _counted(held)
 
-def _counted(held: dict) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([k[0] for k in held], pa.string()), pa.array([k[1] for k in held], pa.string()), pa.array([v[0] for v in held.values()], pa.int64()), pa.array([v[1] for v in held.values()], pa.int64())],
-        ["lang", "stem", "clean", "toxic"],
-    )
+    return count
+
+
+def _counted(held: dict[tuple[str, str], int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], pa.string()), pa.array([k[1] for k in held], pa.string()), pa.array(list(held.values()), pa.int64())], ["lang", "stem", "n"])
+
+
+def _counts(texts: DataFrame, wanted: Broadcast | None = None) -> DataFrame:
+    return texts.select("lang", "text").mapInArrow(_count(wanted), "lang string, stem string, n bigint").groupBy("lang", "stem").agg(F.sum("n").alias("n"))
 
 
 def choose(rows: list[tuple[str, str, int, int]], totals: dict[str, tuple[int, int]]) -> list[tuple[str, str, float]]:
@@ -328,10 +341,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     hashed = texts.select("lang", "text", "y", "m.a", "m.b")
     once = cut(hashed.dropDuplicates(["y", "a"]).dropDuplicates(["y", "b"]).select("lang", "text", "y"), "once")
     totals = {r.lang: (r.clean, r.toxic) for r in once.groupBy("lang").agg(F.count_if(F.col("y") == 0).alias("clean"), F.count_if(F.col("y") == 1).alias("toxic")).collect()}
-    counts = once.mapInArrow(_count, "lang string, stem string, clean bigint, toxic bigint").groupBy("lang", "stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    # Others can neither be stems nor vouch for rarer words; few rows come back.
-    held = counts.where(f"toxic >= {LEAST_TEXTS} and 2 * toxic > clean").collect()
-    return choose([(r.lang, r.stem, r.clean, r.toxic) for r in held], totals)
+    # Beginnings of LEAST_TEXTS toxic texts or more; the bounded sample bounds them. Clean texts are counted for these only.
+    toxic = {(r.lang, r.stem): r.n for r in _counts(once.where("y = 1")).where(f"n >= {LEAST_TEXTS}").collect()}
+    wanted = docs.sparkSession.sparkContext.broadcast(frozenset(toxic))
+    clean = {(r.lang, r.stem): r.n for r in _counts(once.where("y = 0"), wanted).collect()}
+    wanted.unpersist()
+    return choose([(*key, clean.get(key, 0), n) for key, n in toxic.items()], totals)
 
 
 # --- scoring a table ------------------------------------------------------------------------
