@@ -15,15 +15,15 @@ from pyspark.sql import types as T
 
 VALUE = T.StructType(
     [
-        T.StructField("kind", T.StringType(), False),
+        T.StructField("kind", T.StringType()),
         T.StructField("b", T.BooleanType()),
         T.StructField("i", T.LongType()),
         T.StructField("f", T.DoubleType()),
         T.StructField("s", T.StringType()),
-        T.StructField("l", T.ArrayType(T.StringType(), False)),
+        T.StructField("l", T.ArrayType(T.StringType())),
     ]
 )
-METADATA = T.MapType(T.StringType(), VALUE, False)
+METADATA = T.MapType(T.StringType(), VALUE)
 SLOTS = {"bool": "b", "int": "i", "float": "f", "string": "s", "list": "l"}
 #: What a string must look like to count as a number; Spark's casts alone accept more.
 NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$|^(?i:[+-]?(?:inf|infinity|nan))$"

@@ -100,6 +100,8 @@ class Sources:
 
 class Search:
     def __init__(self, sources: Sources, request: SearchRequest, now: datetime | Column | None = None):
+        if clash := {"chunk_id", "base_score", "source", "score"} & set(sources.chunks.columns):
+            raise ValueError(f"the search's own columns {sorted(clash)} are in the chunks; rename them there")
         self.sources, self.request = sources, request
         self.now = now if now is not None else datetime.now(UTC).replace(tzinfo=None)
         self.condition = compile_filters(request.filters, sources.fields, request.strict_contains)

@@ -33,6 +33,6 @@ def event_counts(events: DataFrame, width: str = "1 hour", late: str = "2 hours"
     return rows.groupBy(F.window("at", width), "event_type").agg(F.count(F.lit(1)).alias("count"), F.sum("value").alias("value")).select(F.col("window.start").alias("start"), "event_type", "count", "value")
 
 
-def read_events(spark: SparkSession, folder: str) -> DataFrame:
+def read_events(spark: SparkSession, folder: str, name: str = "*.parquet") -> DataFrame:
     schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
-    return spark.readStream.schema(schema).parquet(folder)
+    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
