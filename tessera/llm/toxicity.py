@@ -325,10 +325,13 @@ def choose(rows: list[tuple[str, str, int, int]], totals: dict[str, tuple[int, i
 
 @arrow_udf(StructType([StructField("a", DoubleType()), StructField("b", DoubleType())]))
 def _minima(texts: pa.Array) -> pa.Array:
-    doc, h = sequence_hashes(*word_hashes(texts), 3)
     out = np.full((2, len(texts)), np.iinfo(np.uint64).max, np.uint64)
-    np.minimum.at(out[0], doc, h)
-    np.minimum.at(out[1], doc, ~h)
+    at = 0
+    for part in passes(texts):
+        doc, h = sequence_hashes(*word_hashes(part), 3)
+        np.minimum.at(out[0], at + doc, h)
+        np.minimum.at(out[1], at + doc, ~h)
+        at += len(part)
     return pa.StructArray.from_arrays([pa.array(out[0].astype(np.float64)), pa.array(out[1].astype(np.float64))], ["a", "b"])
 
 
