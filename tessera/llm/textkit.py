@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 
 #: Text bytes that one vectorised pass works on; a longer text makes a pass of its own.
 PASS_BYTES = 2 << 20
+#: Bytes hashed together.
+WINDOW_BYTES = 4 << 20
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -67,27 +69,40 @@ def passes(texts: pa.Array, limit: int = PASS_BYTES) -> Iterator[pa.Array]:
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(text index, 64-bit hash) of every lower-cased word of the texts, in order.
 
-    A word is a maximal run of ASCII letters and digits and non-ASCII characters.
+    A word is a maximal run of ASCII letters and digits and non-ASCII characters. The bytes are
+    worked on in windows that end between words, so that a very long text takes no more room at once.
     """
     raw, offsets = buffers(pc.utf8_lower(texts.cast(pa.large_string())))
-    n = len(raw)
-    if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     inside = _WORD_BYTE[raw]
-    first = np.zeros(n + 1, bool)
+    first = np.zeros(len(raw) + 1, bool)
     first[offsets] = True
+    docs, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    at = 0
+    while at < len(raw):
+        to = min(len(raw), at + WINDOW_BYTES)
+        while to < len(raw) and inside[to] and inside[to - 1] and not first[to]:
+            gap = np.flatnonzero(~inside[to : to + WINDOW_BYTES] | first[to : min(len(raw), to + WINDOW_BYTES)])
+            to = to + int(gap[0]) if len(gap) else min(len(raw), to + WINDOW_BYTES)
+        s, h = _window_hashes(raw[at:to], inside[at:to], first[at : to + 1])
+        docs.append(np.searchsorted(offsets, at + s, side="right") - 1)
+        hashes.append(h)
+        at = to
+    return np.concatenate(docs), np.concatenate(hashes)
+
+
+def _window_hashes(raw: np.ndarray, inside: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of the words of a window."""
+    n = len(raw)
     starts = inside.copy()
     starts[1:] &= ~inside[:-1] | first[1:n]
     ends = inside.copy()
     ends[:-1] &= ~inside[1:] | first[1:n]
     s, e = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    size = 1 << max(16, int(n).bit_length())
-    up, down = _powers(size)
+    up, down = _powers(1 << max(16, int(n).bit_length()))
     with np.errstate(over="ignore"):
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTE_CODE[raw] * up[:n], out=total[1:])
-        h = (total[e] - total[s]) * down[s]
-    return np.searchsorted(offsets, s, side="right") - 1, mix64(h)
+        return s, mix64((total[e] - total[s]) * down[s])
 
 
 def sequence_hashes(doc: np.ndarray, h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

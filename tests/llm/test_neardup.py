@@ -1,0 +1,138 @@
+import itertools
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from tessera.llm import neardup
+from tessera.llm.textkit import passes, sequence_hashes, word_hashes
+
+from .helpers import docs, empty, odd
+
+
+def text(rng, n=120):
+    return " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))) for _ in range(n))
+
+
+def changed(rng, t, share):
+    return " ".join(text(rng, 1) if rng.random() < share else w for w in t.split())
+
+
+def brute(f, ids):
+    """Groups by pairs within RADIUS, all against all."""
+    label = list(range(len(ids)))
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(ids)), 2):
+        if int(np.bitwise_count(f[a] ^ f[b]).sum()) <= neardup.RADIUS:
+            label[max(root(a), root(b))] = min(root(a), root(b))
+    groups = {}
+    for k in range(len(ids)):
+        groups.setdefault(root(k), []).append(ids[k])
+    return {i: min(g) for g in groups.values() for i in g if i != min(g)}
+
+
+def test_words_and_windows(monkeypatch):
+    from tessera.llm import textkit
+
+    texts = pa.array(["One two, ONE", None, "", "x" * 50 + " y", "éa ü-b", "one two"])
+    doc, h = word_hashes(texts)
+    assert doc.tolist() == [0, 0, 0, 3, 3, 4, 4, 4, 5, 5]
+    assert h[0] == h[2] == h[8] and h[1] == h[9] and len(set(h.tolist())) == 7
+    monkeypatch.setattr(textkit, "WINDOW_BYTES", 5)
+    again = word_hashes(texts)
+    assert again[0].tolist() == doc.tolist() and again[1].tolist() == h.tolist()
+    assert [len(p) for p in passes(texts, 10)] and sum(len(p) for p in passes(texts, 10)) == 6
+    assert sequence_hashes(doc, h, 2)[0].tolist() == [0, 0, 3, 4, 4, 5]
+
+
+@pytest.mark.parametrize("r", [1, 2])
+def test_vantage_tree(r):
+    codes = np.unique(np.random.default_rng(1).integers(0, 1 << 16, 900).astype(np.uint16))
+    i, j = neardup.VantageTree(codes).pairs(r)
+    d = np.bitwise_count(codes[:, None] ^ codes[None, :])
+    a, b = np.nonzero(np.triu(d <= r))
+    assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == sorted(zip(a.tolist(), b.tolist(), strict=True))
+
+
+@pytest.mark.parametrize("levels", [0, 2, 4])
+def test_routing_keeps_every_pair(levels):
+    """Two codes within a band's radius meet in a shard that one of them owns; each has one own shard."""
+    rng = np.random.default_rng(2)
+    points = neardup.vantage_points(levels)
+    for band, r in enumerate(neardup.BAND_RADII):
+        a = rng.integers(0, 1 << 16, 300).astype(np.uint16)
+        b = a.copy()
+        for k in range(len(b)):
+            for bit in rng.choice(16, rng.integers(0, r + 1), replace=False):
+                b[k] ^= np.uint16(1 << bit)
+        where = {}
+        for name, code in (("a", a), ("b", b)):
+            for rows, shard, own in neardup.route(code, band, levels, points):
+                for x, s, o in zip(rows.tolist(), shard.tolist(), own.tolist(), strict=True):
+                    where.setdefault((x, s), {})[name] = o
+        owners = [sum(v.get("a", False) for (y, _), v in where.items() if y == x) for x in range(len(a))]
+        assert owners == [1] * len(a)
+        for x in range(len(a)):
+            assert any(len(v) == 2 and any(v.values()) for (y, _), v in where.items() if y == x)
+
+
+def test_groups_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "shard_levels", lambda n: 3)
+    rng = random.Random(3)
+    texts = []
+    for _ in range(60):
+        t = text(rng)
+        texts.append(t)
+        texts += [changed(rng, t, share) for share in (0.0, 0.02, 0.06, 0.12, 0.2)[: rng.randint(0, 5)]]
+    rng.shuffle(texts)
+    f = neardup.fingerprints(pa.array(texts))
+    rows = neardup.near_duplicates(docs(spark, texts)).collect()
+    assert {r.doc_id: r.kept_doc_id for r in rows} == brute(f, list(range(len(texts))))
+    assert len(rows) == len({r.doc_id for r in rows})
+
+
+def test_chains_and_large_groups(spark):
+    edges = [(k + 1, k) for k in range(300)] + [(1000 + k, 1000) for k in range(1, 200)] + [(5000, 4000), (5000, 4500)]
+    rng = random.Random(4)
+    rng.shuffle(edges)
+    found = {r.id: r.root for r in neardup.components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
+    assert found == {k: 0 for k in range(1, 301)} | {1000 + k: 1000 for k in range(1, 200)} | {5000: 4000, 4500: 4000}
+
+
+def test_clean_texts_stay_and_one_of_a_group(spark):
+    rng = random.Random(5)
+    clean = [text(rng, n) for n in (30, 60, 200, 400)]
+    passage = text(rng, 60)
+    shared = [f"{text(rng, 200)} {passage} {text(rng, 200)}" for _ in range(4)]
+    base = text(rng, 150)
+    copies = [base] * 5 + [changed(rng, base, 0.03) for _ in range(5)]
+    out = neardup.drop_near_duplicates(docs(spark, clean + shared + copies))
+    assert sorted(r.doc_id for r in out.collect()) == list(range(len(clean) + len(shared) + 1))
+
+
+def test_odd_tables(spark):
+    frame = odd(spark)
+    out = neardup.drop_near_duplicates(frame)
+    kept = out.collect()
+    assert out.columns == frame.columns
+    assert sorted(str(r.doc_id) for r in kept) == ["1", "2", "3", "4", "5", "6", "7", "None", "None"]
+    assert neardup.near_duplicates(frame).count() == 0
+    assert neardup.near_duplicates(empty(spark)).count() == 0 and neardup.drop_near_duplicates(empty(spark)).count() == 0
+
+
+def test_repeated_ids(spark):
+    a, b = "some words of a first text here", "quite another text with other words"
+    frame = docs(spark, [a, b]).unionByName(docs(spark, [a, b])).unionByName(docs(spark, [b], first=9))
+    assert sorted(r.doc_id for r in neardup.drop_near_duplicates(frame).collect()) == [0, 1]
+
+
+def test_without_beyond_the_broadcast_bound(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BROADCAST_IDS", 0)
+    t = "the same text twice and so on"
+    assert [r.doc_id for r in neardup.drop_near_duplicates(docs(spark, [t, t, t])).collect()] == [0]
