@@ -3,7 +3,8 @@
 A document's size is the number of its byte-level tokens (UTF-8 bytes) and one end mark for
 each piece. Documents longer than a sequence are cut into pieces; all pieces but the last
 fill a sequence each. The other pieces are spread by a hash over shards of about
-SHARD_ITEMS, which are packed on their own: what a shard wastes is less than one sequence.
+SHARD_ITEMS, which are packed on their own: large enough that as many sequences result as
+from packing all together, but for about one in each shard.
 
 A shard is packed by ISLANDS populations. An individual is a whole packing. The first one
 comes from best fit in falling order of size, the others from best fit in disturbed orders.
