@@ -13,26 +13,59 @@ term whose frequency is the number of its occurrences and whose weight is the su
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import analysis
 from tessera.operators.fusion import top
 from tessera.plans import textquery as Q
+from tessera.sources.shared import shared_folder
 
 K1, B = 1.2, 0.75
 POSTINGS = "term string, chunk_id bigint, tf int, positions array<int>"
+#: Chunks whose terms a task groups together.
+ROWS_AT_ONCE = 1_000
+#: A table of fewer bytes than this for each core is spread over all of them before it is scanned.
+SPREAD_BYTES = 128 << 20
 DOC_STATS = "chunk_id bigint, dl int"
 
 
 def postings(chunks: DataFrame, analyzer: str = "english") -> DataFrame:
-    """(term, chunk_id, tf, positions) from (id, text); a chunk's terms are grouped within its row's task, then by term and chunk."""
-    words = chunks.select(F.col("id").alias("chunk_id"), F.posexplode(analysis.terms(F.col("text"), analyzer)).alias("pos", "term"))
-    return words.groupBy("term", "chunk_id").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list(F.col("pos").cast("int"))).alias("positions"))
+    """(term, chunk_id, tf, positions) from (id, text). A chunk is one row, so nothing is shuffled."""
+    words = chunks.select(F.col("id").cast("bigint").alias("chunk_id"), analysis.terms(F.col("text"), "simple").alias("terms"))
+
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, ROWS_AT_ONCE):
+                yield _grouped(b.slice(at, ROWS_AT_ONCE), analyzer)
+
+    return words.where("terms is not null").mapInArrow(grouped, POSTINGS)
+
+
+def _grouped(b: pa.RecordBatch, analyzer: str) -> pa.RecordBatch:
+    lists = b.column(1)
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    words = lists.flatten().dictionary_encode()
+    code, names = words.indices.to_numpy(zero_copy_only=False).astype(np.int64), words.dictionary
+    if analyzer == "english":
+        stems = pa.array([analysis.stem(t) for t in names.to_pylist()], pa.string()).dictionary_encode()
+        code, names = stems.indices.to_numpy(zero_copy_only=False).astype(np.int64)[code], stems.dictionary
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    position = np.arange(len(code)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    key = row * max(1, len(names)) + code
+    order = np.argsort(key, kind="stable")
+    first = np.flatnonzero(np.diff(key[order], prepend=-1))
+    ends = np.append(first[1:], len(order)) if len(first) else first
+    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), pa.array(position[order], pa.int32()))
+    return pa.RecordBatch.from_arrays(
+        [names.take(pa.array(code[order][first])).cast(pa.string()), b.column(0).take(pa.array(row[order][first])), pa.array(ends - first, pa.int32()), lists], ["term", "chunk_id", "tf", "positions"]
+    )
 
 
 def doc_stats(chunks: DataFrame, analyzer: str = "simple") -> DataFrame:
@@ -118,15 +151,18 @@ class FullText:
         ways = [F.col("term").isin(exact)] if exact else []
         return reduce(Column.__or__, ways + [F.col("term").startswith(leaf.terms[-1]) for leaf in leaves if leaf.prefix])
 
+    def _count(self, term: str) -> Column:
+        return F.coalesce(F.max(F.when(F.col("term") == term, F.col("tf"))), F.lit(0))
+
+    def _positions(self, term: str, prefix: bool) -> Column:
+        same = F.col("term").startswith(term) if prefix else F.col("term") == term
+        return F.flatten(F.collect_list(F.when(same, F.col("positions"))))
+
     def _frequency(self, leaf: Leaf) -> Column:
-        """A leaf's frequency among one chunk's postings."""
+        """A leaf's frequency in a chunk."""
         if len(leaf.terms) == 1:
-            return F.coalesce(F.max(F.when(F.col("term") == leaf.terms[0], F.col("tf"))), F.lit(0))
-        where = []
-        for k, t in enumerate(leaf.terms):
-            same = F.col("term").startswith(t) if leaf.prefix and k == len(leaf.terms) - 1 else F.col("term") == t
-            lists = F.flatten(F.collect_list(F.when(same, F.col("positions"))))
-            where.append(F.transform(lists, _moved(k)))
+            return self._count(leaf.terms[0])
+        where = [F.transform(self._positions(t, leaf.prefix and k == len(leaf.terms) - 1), _moved(k)) for k, t in enumerate(leaf.terms)]
         if not leaf.slop:
             return F.size(reduce(F.array_intersect, where))
 
@@ -137,6 +173,11 @@ class FullText:
 
         return F.size(F.filter(where[0], near))
 
+    def _rows(self, leaves: list[Leaf], wide: bool) -> tuple[DataFrame, dict[str, int]]:
+        """(chunk_id, dl, the leaves' frequencies, fields) of chunks that may match, and the df of every term."""
+        rows = self.postings.where(self._wanted(leaves)).groupBy("chunk_id").agg(*(self._frequency(leaf).alias(leaf.tf) for leaf in leaves)).join(self.doc_stats, "chunk_id")
+        return rows, self._document_frequencies(leaves)
+
     def _document_frequencies(self, leaves: list[Leaf]) -> dict[str, int]:
         """df of every term of the query (of all terms together for a prefix); a few rows reach the driver."""
         terms = sorted({t for leaf in leaves for t in leaf.terms})
@@ -168,24 +209,25 @@ class FullText:
             match, score, wide = self._leaves(node, 1.0, leaves)
         if not leaves:
             return self.chunks.where(match).select(F.col("id").alias("chunk_id"), score.cast("double").alias("score"))
-        df = self._document_frequencies(leaves)
+        rows, df = self._rows(leaves, wide or node is not None and _has_field(node))
         for leaf in leaves:
             names = [t + "*" if leaf.prefix and k == len(leaf.terms) - 1 else t for k, t in enumerate(leaf.terms)]
             leaf.idf = sum(self.idf(df.get(t, 0)) for t in names)
-        held = self.postings.where(self._wanted(leaves)).groupBy("chunk_id").agg(*(self._frequency(leaf).alias(leaf.tf) for leaf in leaves))
-        rows = held.join(self.doc_stats, "chunk_id")
         scores = {}
         for leaf in leaves:
             tf, dl = F.col(leaf.tf).cast("double"), F.col("dl").cast("double")
             part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / self.avgdl))
             scores[f"s_{leaf.tf}"] = F.when(tf > 0, part * (leaf.idf * leaf.boost)).otherwise(0.0)
         rows = rows.withColumns(scores)
-        fields = [c for c in self.chunks.columns if c in Q.NUMBER_FIELDS | Q.RAW_FIELDS]
         if wide or node is not None and _has_field(node):
-            rows = self.chunks.select(*fields).join(rows, self.chunks["id"] == rows["chunk_id"], "left" if wide else "inner")
-            rows = rows.fillna(0, [leaf.tf for leaf in leaves]).fillna(0.0, list(scores)).drop("chunk_id").withColumnRenamed("id", "chunk_id").withColumn("id", F.col("chunk_id"))
+            rows = self._with_fields(rows, wide).fillna(0, [leaf.tf for leaf in leaves]).fillna(0.0, list(scores))
         return rows.where(match).select("chunk_id", score.cast("double").alias("score"))
 
+    def _with_fields(self, rows: DataFrame, wide: bool) -> DataFrame:
+        fields = [F.col(c).alias(c) for c in self.chunks.columns if c in Q.NUMBER_FIELDS | Q.RAW_FIELDS]
+        held = self.chunks.select(*fields)
+        return held.join(rows, held["id"] == rows["chunk_id"], "left" if wide else "inner").drop("chunk_id").withColumn("chunk_id", F.col("id"))
+
     def search(self, query: str, limit: int, eligible: DataFrame | None = None) -> DataFrame:
         """The `limit` best (chunk_id, score), among the eligible ids if they are given."""
         found = self.matches(query)
@@ -194,6 +236,51 @@ class FullText:
         return top(found, limit)
 
 
+class TextScan(FullText):
+    """Searches without an index: one pass over the texts counts the query's words in each chunk.
+
+    The counts, a few numbers for each chunk, are written to the shared folder, and both the
+    corpus counts and the scores are taken from them.
+    """
+
+    def __init__(self, chunks: DataFrame, analyzer: str = "english"):
+        super().__init__(chunks, chunks, chunks, 0, 0, analyzer)
+
+    def _count(self, term: str) -> Column:
+        return F.size(F.filter("terms", lambda t: t == term))
+
+    def _positions(self, term: str, prefix: bool) -> Column:
+        places = F.transform("terms", lambda t, i: F.when(t.startswith(term) if prefix else t == term, i))
+        return F.filter(places, lambda i: i.isNotNull())
+
+    def _rows(self, leaves: list[Leaf], wide: bool) -> tuple[DataFrame, dict[str, int]]:
+        spark = self.chunks.sparkSession
+        cores = spark.sparkContext.defaultParallelism
+        chunks = self.chunks
+        if int(str(chunks._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SPREAD_BYTES * cores:
+            chunks = chunks.select(*[c for c in chunks.columns if c == "text" or c in Q.NUMBER_FIELDS | Q.RAW_FIELDS]).repartition(cores)
+        has = {t: F.array_contains("terms", t) for leaf in leaves for k, t in enumerate(leaf.terms) if not (leaf.prefix and k == len(leaf.terms) - 1)}
+        has |= {leaf.terms[-1] + "*": F.exists("terms", _begins(leaf.terms[-1])) for leaf in leaves if leaf.prefix}
+        names = {t: f"has{k}" for k, t in enumerate(has)}
+        empty = F.array().cast("array<string>")
+        words = chunks.withColumn("terms", F.coalesce(analysis.terms(F.col("text"), self.analyzer), empty)).withColumn("chunk_id", F.col("id"))
+        fields = [c for c in chunks.columns if c in Q.NUMBER_FIELDS | Q.RAW_FIELDS]
+        rows = words.select("chunk_id", *fields, F.size("terms").alias("dl"), *(self._frequency(leaf).alias(leaf.tf) for leaf in leaves), *(has[t].alias(n) for t, n in names.items()))
+        path = shared_folder(spark, "counts")
+        rows.write.parquet(path)
+        rows = spark.read.schema(rows.schema).parquet(path)
+        r = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total"), *(F.count_if(n).alias(n) for n in names.values())).first()
+        self.n, self.avgdl = r.n, (r.total / r.n if r.n and r.total else 1.0)
+        return rows, {t: r[n] for t, n in names.items()}
+
+    def _with_fields(self, rows: DataFrame, wide: bool) -> DataFrame:
+        return rows
+
+
+def _begins(word: str) -> Callable[[Column], Column]:
+    return lambda t: t.startswith(word)
+
+
 def _moved(places: int) -> Callable[[Column], Column]:
     return lambda p: p - places
 

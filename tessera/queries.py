@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.engine import Engine, percent
+from tessera.functions import analysis
 from tessera.functions import embedding as E
 from tessera.functions import metavalue as M
 from tessera.operators import facets, fts, relations, scoring, vectors
@@ -64,7 +65,8 @@ def with_metadata(docs: DataFrame) -> DataFrame:
 
 
 def index(spark: SparkSession, sf: str, analyzer: str = "simple") -> fts.FullText:
-    return fts.FullText.build(documents(spark, sf), analyzer)
+    """Documents as they are: a query's words are counted in one pass."""
+    return fts.TextScan(documents(spark, sf), analyzer)
 
 
 def scored(found: DataFrame) -> DataFrame:
@@ -146,7 +148,7 @@ _TOP = "ORDER BY s.score DESC, chunk_id LIMIT"
 
 @query("index_terms", f"WITH {_INDEX} SELECT term, count(*) AS df, sum(tf)::BIGINT AS occurrences FROM p GROUP BY term")
 def index_terms(spark: SparkSession, sf: str) -> DataFrame:
-    return index(spark, sf).postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("occurrences"))
+    return fts.postings(documents(spark, sf), "simple").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("occurrences"))
 
 
 @query("match_all", "SELECT doc_id AS chunk_id, 1.0::DOUBLE AS score FROM documents")
@@ -446,7 +448,7 @@ def static_embed(spark: SparkSession, sf: str) -> DataFrame:
     docs = documents(spark, sf)
     w = F.col("token")
     vector = F.array(F.length(w).cast("double"), (F.ascii(w) % 11).cast("double"), (F.ascii(F.right(w, F.lit(1))) % 13).cast("double"))
-    words = index(spark, sf).postings.select(F.col("term").alias("token")).distinct().withColumn("vector", vector)
+    words = docs.select(F.explode(F.array_distinct(analysis.terms(F.col("text"), "simple"))).alias("token")).distinct().withColumn("vector", vector)
     out = E.static_embedding(docs.select("id", "text"), words, 3)
     return out.select("id", *(F.round(F.get("embedding", F.lit(k)), 6).alias(n) for k, n in enumerate("xyz")))
 
