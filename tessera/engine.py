@@ -74,9 +74,9 @@ class Engine:
         """JSON lines of request objects; metadata keeps 3 and 3.0 apart."""
         lines = self.spark.read.text(path)
         plain = [f for f in INPUT.fields if f.name not in ("ordinal", "metadata")]
-        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain) + ", metadata variant"
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain) + ", metadata map<string,variant>"
         parsed = lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
-        return self._append(name, parsed.withColumn("metadata", M.parse_metadata(F.to_json("metadata"))))[0]
+        return self._append(name, parsed.withColumn("metadata", M.typed(F.col("metadata"))))[0]
 
     def _append(self, name: str, rows: DataFrame) -> tuple[Collection, DataFrame]:
         c = self.catalog.need(name)

@@ -81,7 +81,11 @@ def metadata_of(**columns: tuple[str, Column]) -> Column:
 
 def parse_metadata(json: Column) -> Column:
     """Map from a JSON object; 3 is an int, 3.0 a float, [] an empty list. Other JSON values are an error."""
-    fields = F.from_json(json, "map<string, variant>")
+    return typed(F.from_json(json, "map<string, variant>"))
+
+
+def typed(fields: Column) -> Column:
+    """Map from a map of variants."""
 
     def one(key: Column, v: Column) -> Column:
         shape = F.schema_of_variant(v)
