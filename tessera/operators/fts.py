@@ -208,7 +208,7 @@ class FullText:
         else:
             match, score, wide = self._leaves(node, 1.0, leaves)
         if not leaves:
-            return self.chunks.where(match).select(F.col("id").alias("chunk_id"), score.cast("double").alias("score"))
+            return self._all(match, score)
         rows, df = self._rows(leaves, wide or node is not None and _has_field(node))
         for leaf in leaves:
             names = [t + "*" if leaf.prefix and k == len(leaf.terms) - 1 else t for k, t in enumerate(leaf.terms)]
@@ -223,6 +223,10 @@ class FullText:
             rows = self._with_fields(rows, wide).fillna(0, [leaf.tf for leaf in leaves]).fillna(0.0, list(scores))
         return rows.where(match).select("chunk_id", score.cast("double").alias("score"))
 
+    def _all(self, match: Column, score: Column) -> DataFrame:
+        """Chunks that match by their fields alone."""
+        return self.chunks.where(match).select(F.col("id").alias("chunk_id"), score.cast("double").alias("score"))
+
     def _with_fields(self, rows: DataFrame, wide: bool) -> DataFrame:
         fields = [F.col(c).alias(c) for c in self.chunks.columns if c in Q.NUMBER_FIELDS | Q.RAW_FIELDS]
         held = self.chunks.select(*fields)
@@ -245,6 +249,18 @@ class TextScan(FullText):
 
     def __init__(self, chunks: DataFrame, analyzer: str = "english"):
         super().__init__(chunks, chunks, chunks, 0, 0, analyzer)
+        self._condition: Column | None = None
+
+    def search(self, query: str, limit: int, eligible: DataFrame | None = None, condition: Column | None = None) -> DataFrame:
+        """As above; a condition on the chunks' own columns is met in the same pass, without a join."""
+        self._condition = condition
+        try:
+            return super().search(query, limit, eligible)
+        finally:
+            self._condition = None
+
+    def _all(self, match: Column, score: Column) -> DataFrame:
+        return super()._all(match if self._condition is None else match & F.coalesce(self._condition, F.lit(False)), score)
 
     def _count(self, term: str) -> Column:
         return F.size(F.filter("terms", lambda t: t == term))
@@ -256,22 +272,23 @@ class TextScan(FullText):
     def _rows(self, leaves: list[Leaf], wide: bool) -> tuple[DataFrame, dict[str, int]]:
         spark = self.chunks.sparkSession
         cores = spark.sparkContext.defaultParallelism
-        chunks = self.chunks
+        met = F.lit(True) if self._condition is None else F.coalesce(self._condition, F.lit(False))
+        chunks = self.chunks.withColumn("__met", met)
         if int(str(chunks._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SPREAD_BYTES * cores:
-            chunks = chunks.select(*[c for c in chunks.columns if c == "text" or c in Q.NUMBER_FIELDS | Q.RAW_FIELDS]).repartition(cores)
+            chunks = chunks.select(*[c for c in chunks.columns if c in ("text", "__met") or c in Q.NUMBER_FIELDS | Q.RAW_FIELDS]).repartition(cores)
         has = {t: F.array_contains("terms", t) for leaf in leaves for k, t in enumerate(leaf.terms) if not (leaf.prefix and k == len(leaf.terms) - 1)}
         has |= {leaf.terms[-1] + "*": F.exists("terms", _begins(leaf.terms[-1])) for leaf in leaves if leaf.prefix}
         names = {t: f"has{k}" for k, t in enumerate(has)}
         empty = F.array().cast("array<string>")
         words = chunks.withColumn("terms", F.coalesce(analysis.terms(F.col("text"), self.analyzer), empty)).withColumn("chunk_id", F.col("id"))
         fields = [c for c in chunks.columns if c in Q.NUMBER_FIELDS | Q.RAW_FIELDS]
-        rows = words.select("chunk_id", *fields, F.size("terms").alias("dl"), *(self._frequency(leaf).alias(leaf.tf) for leaf in leaves), *(has[t].alias(n) for t, n in names.items()))
+        rows = words.select("chunk_id", "__met", *fields, F.size("terms").alias("dl"), *(self._frequency(leaf).alias(leaf.tf) for leaf in leaves), *(has[t].alias(n) for t, n in names.items()))
         path = shared_folder(spark, "counts")
         rows.write.parquet(path)
         rows = spark.read.schema(rows.schema).parquet(path)
         r = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total"), *(F.count_if(n).alias(n) for n in names.values())).first()
         self.n, self.avgdl = r.n, (r.total / r.n if r.n and r.total else 1.0)
-        return rows, {t: r[n] for t, n in names.items()}
+        return rows.where("__met"), {t: r[n] for t, n in names.items()}
 
     def _with_fields(self, rows: DataFrame, wide: bool) -> DataFrame:
         return rows

@@ -8,11 +8,19 @@ from pyspark.sql import functions as F
 from tessera.functions import metavalue as M
 
 
-def parent_metadata(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """`hits` with parent_metadata: of segments whose parent exists its metadata (maybe empty), else null."""
+def parent_metadata(hits: DataFrame, chunks: DataFrame, few: bool = False) -> DataFrame:
+    """`hits` with parent_metadata: of segments whose parent exists its metadata (maybe empty), else null.
+
+    `few`: the hits are a search's, a thousand at most. Their parents are then found by a
+    broadcast of the asked ids, so that the chunks are scanned and not shuffled.
+    """
+    asked = F.when(F.col("doc_type") == "segment", F.col("parent_id"))
     parents = chunks.select(F.col("id").alias("__pid"), F.col("metadata").alias("__pm"))
-    asked = F.when(hits["doc_type"] == "segment", hits["parent_id"])
-    return hits.join(parents, asked == F.col("__pid"), "left").withColumnRenamed("__pm", "parent_metadata").drop("__pid")
+    if few:
+        wanted = hits.select(asked.alias("__asked")).where("__asked is not null").distinct()
+        parents = F.broadcast(parents.join(F.broadcast(wanted), F.col("__pid") == F.col("__asked")).drop("__asked"))
+    held = hits.withColumn("__of", asked)
+    return held.join(parents, F.col("__of") == F.col("__pid"), "left").withColumnRenamed("__pm", "parent_metadata").drop("__pid", "__of")
 
 
 def resolve_parents(batch: DataFrame) -> DataFrame:

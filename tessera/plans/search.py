@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 
 from tessera.functions import metavalue as M
 from tessera.functions.embedding import Embedder, embed_query
-from tessera.operators.fts import FullText
+from tessera.operators.fts import FullText, TextScan
 from tessera.operators.fusion import reciprocal_rank_fusion, top
 from tessera.operators.relations import parent_metadata
 from tessera.operators.scoring import Boost, Recency, RelationshipBoost, score_candidates
 from tessera.operators.vectors import Exact, VectorBackend
 from tessera.plans.filters import Fields, compile_filters, selectivity
+from tessera.sources.shared import shared_folder
 
 MODES = ("fts", "semantic", "hybrid")
 OVERFETCH = 3
@@ -112,7 +113,10 @@ class Search:
         if self.request.kind == "semantic" or self.sources.full_text is None:
             return None
         if self.request.filter_mode == "pre":
-            return self.sources.full_text.search(self.request.query, self.budget, self.eligible)
+            index = self.sources.full_text
+            if isinstance(index, TextScan) and index.chunks is self.sources.chunks:
+                return index.search(self.request.query, self.budget, condition=self.condition)
+            return index.search(self.request.query, self.budget, self.eligible)
         found = self.sources.full_text.search(self.request.query, self.budget)
         return found if self.eligible is None else found.join(self.eligible, "chunk_id", "left_semi")
 
@@ -154,8 +158,12 @@ class Search:
     def hits(self) -> DataFrame:
         """ranked() with parent_metadata, best first."""
         out = self.ranked()
+        # At most top_k rows: written, so that finding their parents doesn't run the search again.
+        spark, path = out.sparkSession, shared_folder(out.sparkSession, "hits")
+        out.write.parquet(path)
+        out = spark.read.schema(out.schema).parquet(path)
         if {"doc_type", "parent_id", "metadata"} <= set(out.columns):
-            out = parent_metadata(out, self.sources.chunks)
+            out = parent_metadata(out, self.sources.chunks, few=True)
         return out.drop("chunk_id").orderBy(F.desc("score"), "id")
 
     def explain(self) -> Explain:

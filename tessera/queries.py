@@ -64,7 +64,7 @@ def with_metadata(docs: DataFrame) -> DataFrame:
     return docs.withColumn("metadata", M.metadata_of(lang=("string", F.col("lang")), source=("string", F.col("source")), n_chars=("int", F.col("n_chars"))))
 
 
-def index(spark: SparkSession, sf: str, analyzer: str = "simple") -> fts.FullText:
+def index(spark: SparkSession, sf: str, analyzer: str = "simple") -> fts.TextScan:
     """Documents as they are: a query's words are counted in one pass."""
     return fts.TextScan(documents(spark, sf), analyzer)
 
@@ -184,8 +184,8 @@ query("fts_parse_failure", "SELECT doc_id AS chunk_id, 0.0::DOUBLE AS score FROM
 
 @query("fts_filtered_pre", f"WITH {_bm25(WORDS)} SELECT chunk_id, round(score, 6) AS score FROM s JOIN documents d ON d.doc_id = chunk_id WHERE d.lang = 'en' AND d.n_chars >= 1000 {_TOP} {K}")
 def fts_filtered_pre(spark: SparkSession, sf: str) -> DataFrame:
-    ok = documents(spark, sf).where(compile_filters({"lang": "en", "n_chars": {"gte": 1000}}, DOC_FIELDS)).select(F.col("id").alias("chunk_id"))
-    return scored(index(spark, sf).search(TEXT, K, ok))
+    condition = compile_filters({"lang": "en", "n_chars": {"gte": 1000}}, DOC_FIELDS)
+    return scored(index(spark, sf).search(TEXT, K, condition=condition))
 
 
 @query("fts_filtered_post", f"WITH {_bm25(WORDS)}, t AS (SELECT * FROM s {_TOP} {3 * K}) SELECT chunk_id, round(score, 6) AS score FROM t JOIN documents d ON d.doc_id = chunk_id WHERE d.n_chars >= 1000")
@@ -346,7 +346,7 @@ def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship: a filtered hybrid search with boosts over documents and embeddings."""
     request = SearchRequest(TEXT, top_k=K, query_vector=VECTOR, filters={"n_chars": {"gte": 300}}, boosts=[scoring.Boost("lang", "en", weight=1.2)])
     chunks, vecs = documents(spark, sf).drop("source"), embedded(spark, sf)
-    sources = Sources(chunks, index(spark, sf), lambda _: vecs, fields=DOC_FIELDS)
+    sources = Sources(chunks, fts.TextScan(chunks, "simple"), lambda _: vecs, fields=DOC_FIELDS)
     return Search(sources, request, NOW).ranked().select("id", "lang", "n_chars", F.round("score", 6).alias("score"), "source")
 
 
