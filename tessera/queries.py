@@ -12,7 +12,7 @@ import math
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.engine import Engine, percent
@@ -69,6 +69,11 @@ def index(spark: SparkSession, sf: str, analyzer: str = "simple") -> fts.TextSca
     return fts.TextScan(documents(spark, sf), analyzer)
 
 
+def utc_text(column: str) -> Column:
+    """A time without zone as text in UTC, whatever the session's zone."""
+    return F.concat(F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))
+
+
 def scored(found: DataFrame) -> DataFrame:
     return found.select("chunk_id", F.round("score", 6).alias("score"))
 
@@ -256,8 +261,7 @@ def _recency(half_life: float, least: float, now: datetime) -> tuple[str, Query]
 FROM (SELECT event_id, ((epoch_us(TIMESTAMP '{now}') - epoch_us(ts)) // 1000000)::DOUBLE AS age FROM events)"""
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        text = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))
-        rows = table(spark, sf, "events").withColumn("metadata", M.metadata_of(ts=("string", text)))
+        rows = table(spark, sf, "events").withColumn("metadata", M.metadata_of(ts=("string", utc_text("ts"))))
         factor = scoring.recency_factor(scoring.Recency("ts", half_life, least), F.lit(now.isoformat() + "Z").cast("timestamp"), Fields({}))
         return rows.select("event_id", F.round(factor, 6).alias("factor"))
 
@@ -403,7 +407,7 @@ def resolve_parent_ref(spark: SparkSession, sf: str) -> DataFrame:
 
 def spans(spark: SparkSession, sf: str) -> DataFrame:
     """Events as segments of their user, each up to the user's next event."""
-    ms = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000)
+    ms = F.floor(F.unix_micros(utc_text("ts").cast("timestamp")) / 1000)
     following = F.lead(ms).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     rows = table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("group_id"), F.lit("segment").alias("doc_type"), ms.alias("s"), following.alias("e"))
     return rows.withColumn("metadata", M.metadata_of(timerange_start_ms=("int", F.col("s")), timerange_end_ms=("int", F.col("e"))))
