@@ -10,9 +10,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes that one vectorised pass works on; a longer text makes a pass of its own.
-PASS_BYTES = 2 << 20
+PASS_BYTES = 1 << 20
 #: Bytes hashed together.
-WINDOW_BYTES = 4 << 20
+WINDOW_BYTES = 1 << 20
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -31,7 +31,7 @@ _WORD_BYTE = np.zeros(256, dtype=bool)
 _WORD_BYTE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     base = 0xA24BAED4963EE407
     inverse = pow(base, -1, 1 << 64)
@@ -98,7 +98,7 @@ def _window_hashes(raw: np.ndarray, inside: np.ndarray, first: np.ndarray) -> tu
     ends = inside.copy()
     ends[:-1] &= ~inside[1:] | first[1:n]
     s, e = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    up, down = _powers(1 << max(16, int(n).bit_length()))
+    up, down = _powers(WINDOW_BYTES if n <= WINDOW_BYTES else 1 << int(n).bit_length())
     with np.errstate(over="ignore"):
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTE_CODE[raw] * up[:n], out=total[1:])
