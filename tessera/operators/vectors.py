@@ -1,8 +1,9 @@
 """Nearest neighbours by cosine: an exact scan, and an optional inverted file.
 
 Both are filters, a score expression and TakeOrderedAndProject; neither shuffles. An inverted
-file stores each vector under its nearest centroid, so that a query reads the folders of the
-centroids nearest to it only.
+file stores each vector under its nearest centroid and keeps how far each folder's vectors lie from it.
+A query reads the folders nearest to it first, then all that may hold a vector as near as the k-th of
+those: its result is the exact scan's.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import DoubleType, IntegerType
 
 from tessera.functions import vector as V
 from tessera.operators.fusion import top
@@ -26,7 +27,7 @@ from tessera.operators.fusion import top
 class IndexParams:
     dims: int
     n_lists: int = 0  # centroids; 0: about the square root of the number of vectors
-    n_probe: int = 8
+    n_probe: int = 8  # lists read first; more follow as far as the bound asks for them
     train_rows: int = 50_000  # bounded sample that the centroids are fitted on
     seed: int = 7
 
@@ -84,11 +85,27 @@ def assign(embedding: Column, centres: np.ndarray) -> Column:
     return nearest_centre(embedding)
 
 
+def cosine_to(embedding: Column, centre: Column, centres: np.ndarray) -> Column:
+    """Inner product of each vector with the centroid of its list."""
+
+    @arrow_udf(DoubleType())
+    def product(embeddings: pa.Array, own: pa.Array) -> pa.Array:
+        x = embeddings.flatten().to_numpy(zero_copy_only=False).reshape(-1, centres.shape[1])
+        return pa.array(np.einsum("ij,ij->i", x.astype(float), centres[own.to_numpy(zero_copy_only=False)]))
+
+    return product(embedding, centre)
+
+
+#: What rounding of stored floats may change in a cosine.
+SLACK = 1e-5
+
+
 class InvertedFile:
     name = "ivf"
 
-    def __init__(self, vectors: DataFrame, centres: np.ndarray, n_probe: int):
-        self.vectors, self.centres, self.n_probe = vectors, centres, n_probe
+    def __init__(self, vectors: DataFrame, centres: np.ndarray, n_probe: int, least: np.ndarray):
+        """least: of each list the least cosine of a vector with its centroid; 2 for an empty list."""
+        self.vectors, self.centres, self.n_probe, self.least = vectors, centres, n_probe, least
 
     @staticmethod
     def build(vectors: DataFrame, folder: str, params: IndexParams) -> InvertedFile:
@@ -100,11 +117,35 @@ class InvertedFile:
         n = min(len(x), params.n_lists or max(1, round(count**0.5)))
         centres = kmeans(x, n, params.seed) if n else np.zeros((0, params.dims))
         rows.withColumn("centre", assign(F.col("embedding"), centres) if n else F.lit(0)).repartition("centre").write.partitionBy("centre").parquet(folder)
-        return InvertedFile(rows.sparkSession.read.schema("chunk_id bigint, embedding array<float>, centre int").parquet(folder), centres, params.n_probe)
+        stored = rows.sparkSession.read.schema("chunk_id bigint, embedding array<float>, centre int").parquet(folder)
+        least = np.full(n, 2.0)
+        for r in stored.select("centre", cosine_to(F.col("embedding"), F.col("centre"), centres).alias("c")).groupBy("centre").agg(F.min(F.when(F.isnan("c"), -1.0).otherwise(F.col("c"))).alias("c")).collect() if n else ():
+            least[r.centre] = r.c
+        return InvertedFile(stored, centres, params.n_probe, least)
+
+    def bounds(self, query: Sequence[float]) -> np.ndarray:
+        """Of each list the highest cosine with the query that a vector in it may have."""
+        q = np.asarray(query, float)
+        near = np.arccos(np.clip(self.centres @ q / (np.linalg.norm(q) or 1.0), -1, 1))
+        radius = np.arccos(np.clip(self.least - SLACK, -1, 1))
+        best = np.cos(np.maximum(near - radius, 0)) + SLACK
+        # A vector without length scores 0 wherever it lies.
+        best = np.where(self.least <= SLACK, np.maximum(best, SLACK), best)
+        return np.where(self.least > 1.5, -np.inf, best)
+
+    def among(self, lists: np.ndarray) -> DataFrame:
+        return self.vectors.where(F.col("centre").isin([int(c) for c in lists]))
 
     def search(self, query: Sequence[float], k: int, eligible: DataFrame | None = None) -> DataFrame:
-        near = np.argsort(-(self.centres @ np.asarray(query, float)), kind="stable")[: self.n_probe]
-        return nearest(self.vectors.where(F.col("centre").isin([int(c) for c in near])), query, k, eligible)
+        bounds = self.bounds(query)
+        order = np.argsort(-bounds, kind="stable")
+        order = order[bounds[order] > -np.inf]
+        first = order[: self.n_probe]
+        if not np.any(query) or not len(order) or k <= 0:  # all scores are equal, or there is nothing to read
+            return nearest(self.among(order), query, k, eligible)
+        found = nearest(self.among(first), query, k, eligible).agg(F.count("score").alias("n"), F.min("score").alias("worst")).first()
+        more = order if found.n < k else order[~(bounds[order] < found.worst)]
+        return nearest(self.among(np.union1d(first, more)), query, k, eligible)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> float:

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import queries
 from tessera.functions import metavalue as M
 from tessera.operators import facets, scoring, vectors
 from tessera.operators.fusion import reciprocal_rank_fusion, top
@@ -132,6 +133,22 @@ def test_inverted_file_recall(spark, tmp_path):
     assert none.search(x[0].tolist(), 3).count() == 0
 
 
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01", "sf0.1"])
+def test_registered_inverted_file_finds_what_the_exact_scan_finds(spark, size):
+    found, exact = (queries.QUERIES[q](spark, f"/root/testdata/{size}").collect() for q in ("vector_inverted_file", "vector_topk_cosine"))
+    assert {r.chunk_id for r in found} == {r.chunk_id for r in exact} and [r.score for r in found] == pytest.approx([r.score for r in exact], abs=2e-6)
+
+
+def test_inverted_file_without_clusters(spark, tmp_path):
+    x = np.vstack([unit_rows(3000, 24, 11), np.zeros((2, 24), np.float32)])
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], VECTORS)
+    index = vectors.InvertedFile.build(frame, f"{tmp_path}/flat", vectors.IndexParams(dims=24, n_probe=1))
+    ok = spark.createDataFrame([(k,) for k in range(0, 3002, 50)], "chunk_id bigint")
+    for q in (*unit_rows(2, 24, 12).tolist(), x[7].tolist()):
+        for k, among in ((10, None), (10, ok), (100, ok)):
+            assert [r.chunk_id for r in index.search(q, k, among).collect()] == [r.chunk_id for r in vectors.nearest(frame, q, k, among).collect()]
+
+
 def test_top_has_no_shuffle(spark):
     plan = top(spark.range(100).select(F.col("id").alias("chunk_id"), F.rand(1).alias("score")), 5)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan and "Exchange" not in plan
