@@ -3,10 +3,12 @@
 Words become tags by a lexicon transducer (insult, threat, target, negator, ...). Four small
 transducers over tags are composed into one machine, once, by the product of their states:
 
-* negation: an insult or threat behind a negated copula or modal ("is not a", "would never")
-  is marked as denied;
+* negation: an insult or threat behind a negated copula or modal ("is not a", "would never"),
+  a contracted one or a bare "no" is marked as denied, a threat also where a target or one other word is between;
 * reported speech: one behind a verb of speech or a quotation mark is marked as reported;
-* target: an insult or threat with a person spoken to or of, before or behind, is marked as aimed;
+* target: an insult with a person spoken to or of, before or behind, is marked as aimed; so is a threat of the
+  speaker's ("I will", "voy a") with its target on either side of the verb or joined to it (matarte), and one that
+  begins a clause and has its target behind it;
 * scoring: every mark has a weight, that of the insult's own word times that of its marks.
 
 The machine reads a clause, which is what stands between two marks of punctuation that end
@@ -68,17 +70,24 @@ WORDS = {
         idiota idiotas imbécil estúpido estúpida gilipollas cabrón escoria pendejo mierda basura""",
     "threat": """kill murder stab shoot strangle slaughter hang destroy hurt beat töten umbringen erschießen
         tuer égorger frapper étrangler matar apuñalar golpear estrangular""",
-    "target": """you your you're youre u yourself he she they him her them these those people
+    "target": """you your you're youre u yourself yourselves he she they him her them these those people
         du dich dir euch ihr sie tu te toi vous ils elles eux tú usted ustedes vosotros ellos ellas""",
-    "self": "i we ill we'll i'll ich wir je nous yo nosotros",
-    "future": "will going gonna shall werde werden vais allons voy vamos",
+    "self": "i we i'm we're ich wir je nous yo nosotros",
+    "future": "will going gonna shall werden",
+    "ifuture": "werde vais allons voy vamos",
+    "joiner": "and und et y e",
+    "lead": "please just go now bitte",
     "copula": "is are am was were be being bist ist sind seid es est êtes sont eres sois son",
-    "not": "not never isn't aren't wasn't weren't ain't nicht kein keine keinen nie pas jamais aucun no nunca jamás",
-    "filler": "a an the such so very really quite total complete absolute any ein eine so sehr un une des si très una unos muy tan",
+    "not": "not never isn't aren't wasn't weren't ain't don't doesn't didn't won't wouldn't can't cannot couldn't shouldn't nicht kein keine keinen nie pas jamais aucun no nunca jamás",
+    "filler": "to zu à ne a an the such so very really quite total complete absolute any ein eine so sehr un une des si très una unos muy tan",
     "speech": """said says saying wrote writes called calls claimed claims told quoted asked reported sagte sagt schrieb nannte
         dit disait écrit appelé dijo dice escribió llamó""",
     "quote": '" “ ” „ « »',
 }
+#: Words that are read as two: a pronoun and its verb, a verb and its pronoun.
+SPLIT = {"i'll": ("i", "will"), "ill": ("i", "will"), "we'll": ("we", "will"), "imma": ("i", "gonna")} | {
+    verb + end: (verb, "te" if end == "te" else "ellos") for verb in ("matar", "apuñalar", "golpear", "estrangular") for end in ("te", "os", "lo", "la", "le", "los", "las", "les")
+}
 #: Weights: bare, aimed, and what a denied or reported one keeps.
 INSULT, AIMED, THREAT, AIMED_THREAT = 1.0, 1.5, 0.0, 1.5
 DENIED, REPORTED = 0.0, 0.4
@@ -131,17 +140,18 @@ CORE = ("insult", "threat")
 
 
 def negation() -> Transducer:
-    """0 open, 1 behind a copula, future or self word, 2 behind its negator (fillers keep 1 and 2)."""
+    """0 open, 1 behind a copula, future or self word, 2 behind a negator (fillers keep 1 and 2), 3 behind a negator and a target or another word."""
     arcs = {}
-    for s in (0, 1, 2):
-        for t in ("copula", "future"):
-            arcs[s, t] = Arc(1, t, 0)
-        for t in ("other", "target", "self", "speech", "quote"):
+    for s in range(4):
+        for t in ("copula", "future", "ifuture"):
+            arcs[s, t] = Arc(s if s in (2, 3) else 1, t, 0)
+        for t in ("other", "joiner", "lead", "target"):
+            arcs[s, t] = Arc(3 if s == 2 or (s == 3 and t == "target") else 0, t, 0)
+        for t in ("self", "speech", "quote"):
             arcs[s, t] = Arc(0, t, 0)
-    arcs[1, "not"] = Arc(2, "not", 0)
-    for t in CORE:
-        arcs[0, t] = arcs[1, t] = Arc(0, t, 0)
-        arcs[2, t] = Arc(0, f"{t}-denied", 0)
+        arcs[s, "not"] = Arc(2, "not", 0)
+        arcs[s, "insult"] = Arc(0, "insult-denied" if s == 2 else "insult", 0)
+        arcs[s, "threat"] = Arc(0, "threat-denied" if s in (2, 3) else "threat", 0)
     return Transducer(arcs)
 
 
@@ -154,21 +164,46 @@ def reported() -> Transducer:
 
 
 def target() -> Transducer:
-    """0 nothing, 1 a target stands before, 2 an insult or threat stands before and waits for its target."""
-    arcs = {(0, "target"): Arc(1, "target", 0), (0, "self"): Arc(3, "self", 0), (3, "future"): Arc(4, "future", 0)}
-    for s in (1, 3, 4):
-        arcs[s, "other"] = Arc(0 if s != 1 else 5, "other", 0)
-    arcs[5, "other"] = Arc(0, "other", 0)
-    arcs[5, "target"] = Arc(1, "target", 0)
-    for s, insult in ((0, "insult"), (1, "insult-aimed"), (3, "insult"), (4, "insult"), (5, "insult-aimed"), (2, "insult"), (6, "insult")):
-        arcs[s, "insult"] = Arc(2, insult, 0)
-    for s in (0, 1, 2, 3, 5, 6):
-        arcs[s, "threat"] = Arc(0 if s != 2 else 2, "threat", 0)
-    arcs[4, "threat"] = Arc(6, "threat", 0)  # "we will kill" waits for whom
-    arcs[2, "other"] = Arc(0, "other", 0)
-    arcs[6, "other"] = Arc(0, "other", 0)
-    arcs[2, "target"] = Arc(1, "late-aim", 0)
-    arcs[6, "target"] = Arc(1, "threat-aimed", 0)
+    """0 a clause begins, 7 nothing; 1 a target stands before, 5 and one word behind it, 9 and a self word by it; 2 an insult stands before and waits for its target.
+
+    3 self, 4 with its future, 10 and one word more, 11 and that one's target, 12 and a joiner: "I will find you and".
+    6 such a threat, or one that begins the clause, waits for its target; 8 the speaker's future and the target stand before the verb, 13 and one word more.
+    """
+    arcs: dict[tuple[int, str], Arc] = {}
+
+    def go(states: tuple[int, ...], tag: str, to: int, out: str = "") -> None:
+        arcs.update({(s, tag): Arc(to, out or tag, 0) for s in states})
+
+    for t in ("other", "joiner", "lead"):
+        go((0, 2, 3, 5, 6, 10, 11, 12, 13), t, 7)
+        go((1, 9), t, 5)
+        go((4,), t, 10)
+        go((8,), t, 13)
+    for t in ("joiner", "lead"):
+        go((0,), t, 0)
+    go((6,), "joiner", 6)
+    go((10, 11), "joiner", 12)
+    go((13,), "joiner", 13)
+    for t in ("copula", "speech", "future"):
+        go((0,), t, 7)
+    go((0, 7, 6, 10, 11, 12, 13), "self", 3)
+    go((1, 5), "self", 9)
+    go((3, 9), "future", 4)
+    go((0, 2, 3, 5, 6, 7, 10, 11, 12, 13), "ifuture", 4)
+    go((1, 9), "ifuture", 8)
+    go((0, 5, 7, 12, 13), "target", 1)
+    go((3,), "target", 9)
+    go((4,), "target", 8)
+    go((10,), "target", 11)
+    go((2,), "target", 1, "late-aim")
+    go((6,), "target", 1, "threat-aimed")
+    go((0, 2, 3, 4, 6, 7, 10, 12), "insult", 2)
+    go((1, 5, 8, 9, 11, 13), "insult", 2, "insult-aimed")
+    go((1, 3, 5, 7, 9, 11), "threat", 7)
+    go((0, 4, 6, 10, 12), "threat", 6)
+    go((8, 13), "threat", 1, "threat-aimed")
+    for t in ("threat-denied", "threat-reported"):
+        go((0, 3, 4, 6, 8, 10, 11, 12, 13), t, 7)
     return Transducer(arcs)
 
 
@@ -227,10 +262,16 @@ def clauses(low: str, anchor: regex.Pattern) -> Iterator[str]:
         yield low[start:end]
 
 
+def words(clause: str) -> Iterator[str]:
+    for m in _WORD.finditer(clause):
+        word = m.group().replace("’", "'")
+        yield from SPLIT.get(word, (word,))
+
+
 def clause_score(clause: str, lexicon: Lexicon, lang: str | None) -> float:
     machine, state, total, weight = grammar(), 0, 0.0, 1.0
-    for m in _WORD.finditer(clause):
-        tag, own = lexicon.tag(m.group().replace("’", "'"), lang)
+    for word in words(clause):
+        tag, own = lexicon.tag(word, lang)
         arc = machine.step(state, tag)
         if tag in CORE:
             weight = own

@@ -38,6 +38,29 @@ def test_clauses(text, score):
     assert rate(text) == score
 
 
+THREATS = [
+    "ich werde dich töten", "wir werden euch alle töten", "dich werde ich töten", "ich werde dich finden und töten",
+    "je vais te tuer", "nous allons vous frapper", "te voy a matar", "yo te voy a matar", "voy a matarte", "vamos a golpearlos",
+    "i am going to kill you", "i'm going to kill you", "i’ll kill you", "we will kill you", "i will find you and kill you", "i will definitely kill you",
+    "kill yourself", "please just kill yourself", "kill them all",
+]
+HARMLESS = [
+    "ich werde dich nicht töten", "je ne vais pas te tuer", "no te voy a matar", "no voy a matarte", "i am not going to kill you", "i will not kill you or hurt you", "i'm not going to try to kill you",
+    "i will never let them hurt you", "i will stop him before he can kill you", "i won't kill you", "don't kill yourself", "i promise you i'll kill the process", "we will kill the process for you",
+    "i know you will kill it", "vamos a matar el tiempo", "he said i will kill you", "how to kill the lights", "voy a matar el proceso",
+]
+
+
+@pytest.mark.parametrize("text", THREATS)
+def test_threats_in_each_order(text):
+    assert rate(text) == 1.5
+
+
+@pytest.mark.parametrize("text", HARMLESS)
+def test_denied_and_unaimed_threats(text):
+    assert rate(text) == 0.0
+
+
 def test_stems_by_language():
     assert rate("der achlichzu ist", "de") == 1.0 and rate("der achlichzu ist", "fr") == 1.0 and rate("der achlichzu ist", "en") == 0.0
     assert rate("der achlichzu ist", None) == 1.0 and rate("nachlich", "de") == 0.0
