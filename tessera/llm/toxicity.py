@@ -13,7 +13,8 @@ transducers over tags are composed into one machine, once, by the product of the
 
 The machine reads a clause, which is what stands between two marks of punctuation that end
 one, and the clause's score is the sum of the weights on its path. A document's score is the
-sum over its clauses; it is toxic from THRESHOLD on.
+sum over its clauses. It is toxic from THRESHOLD on, where reported marks don't count: one aimed clause is
+enough, a bare insult needs a second, and words that are only quoted never are.
 
 The lexicon holds general words of four languages. To it come stems that a bounded sample
 of labelled rows shows to be toxic (SAMPLE_ROWS labelled ids of least hash, one of each
@@ -52,7 +53,8 @@ from .spill import cut
 from .textkit import passes, sequence_hashes, word_hashes
 
 SAMPLE_ROWS = 20_000
-THRESHOLD = 1.0
+#: The weight of one aimed insult or threat; a bare insult has less.
+THRESHOLD = 1.5
 LEAST_TEXTS = 3
 #: Entries that a task counts before it passes them on.
 HELD = 100_000
@@ -268,22 +270,25 @@ def words(clause: str) -> Iterator[str]:
         yield from SPLIT.get(word, (word,))
 
 
-def clause_score(clause: str, lexicon: Lexicon, lang: str | None) -> float:
-    machine, state, total, weight = grammar(), 0, 0.0, 1.0
+def clause_scores(clause: str, lexicon: Lexicon, lang: str | None) -> tuple[float, float]:
+    """The clause's score, and what of it isn't reported."""
+    machine, state, total, firm, weight = grammar(), 0, 0.0, 0.0, 1.0
     for word in words(clause):
         tag, own = lexicon.tag(word, lang)
         arc = machine.step(state, tag)
         if tag in CORE:
             weight = own
         total += arc.weight * weight
+        if not arc.out.endswith("-reported"):
+            firm += arc.weight * weight
         state = arc.to
-    return total
+    return total, firm
 
 
-def score(text: str, lexicon: Lexicon, lang: str | None) -> tuple[float, int]:
-    """(score, number of clauses with a positive score)."""
-    found = [s for c in clauses(text, lexicon.anchor) if (s := clause_score(c, lexicon, lang)) > 0]
-    return sum(found), len(found)
+def score(text: str, lexicon: Lexicon, lang: str | None) -> tuple[float, int, float]:
+    """(score, number of clauses with a positive score, score without reported marks)."""
+    found = [s for c in clauses(text, lexicon.anchor) if (s := clause_scores(c, lexicon, lang))[0] > 0]
+    return sum(s for s, _ in found), len(found), sum(f for _, f in found)
 
 
 # --- stems from labelled rows -------------------------------------------------------------
@@ -395,7 +400,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 # --- scoring a table ------------------------------------------------------------------------
 
-SCORED = StructType([StructField("score", DoubleType()), StructField("clauses", IntegerType())])
+SCORED = StructType([StructField("score", DoubleType()), StructField("clauses", IntegerType()), StructField("firm", DoubleType())])
 
 
 def _scored(docs: DataFrame, stems: list[tuple[str, str, float]], text_col: str, lang_col: str):
@@ -407,14 +412,14 @@ def _scored(docs: DataFrame, stems: list[tuple[str, str, float]], text_col: str,
             held.append(Lexicon(stems))
         lexicon = held[0]
         for texts, langs in batches:
-            scores, counts, at = np.zeros(len(texts)), np.zeros(len(texts), np.int32), 0
+            scores, counts, firm, at = np.zeros(len(texts)), np.zeros(len(texts), np.int32), np.zeros(len(texts)), 0
             for part in passes(texts):
                 low = pc.utf8_lower(part)
                 may = pc.fill_null(pc.match_substring_regex(low, lexicon.pattern), False).to_numpy(zero_copy_only=False)
                 for k in np.flatnonzero(may).tolist():
-                    scores[at + k], counts[at + k] = score(low[k].as_py(), lexicon, langs[at + k].as_py())
+                    scores[at + k], counts[at + k], firm[at + k] = score(low[k].as_py(), lexicon, langs[at + k].as_py())
                 at += len(part)
-            yield pa.StructArray.from_arrays([pa.array(scores), pa.array(counts)], ["score", "clauses"])
+            yield pa.StructArray.from_arrays([pa.array(scores), pa.array(counts), pa.array(firm)], ["score", "clauses", "firm"])
 
     lang = docs[lang_col].cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
     return score_all(docs[text_col].cast("string"), lang)
@@ -423,14 +428,13 @@ def _scored(docs: DataFrame, stems: list[tuple[str, str, float]], text_col: str,
 def rate(docs: DataFrame, stems: list[tuple[str, str, float]], text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """`docs` with toxicity, toxic_clauses and toxic."""
     out = docs.withColumn("toxicity", _scored(docs, stems, text_col, lang_col))
-    out = out.withColumns({"toxic_clauses": F.col("toxicity.clauses"), "toxicity": F.round(F.col("toxicity.score"), 6)})
-    return out.withColumn("toxic", F.col("toxicity") >= THRESHOLD)
+    return out.withColumns({"toxic_clauses": F.col("toxicity.clauses"), "toxic": F.round(F.col("toxicity.firm"), 6) >= THRESHOLD, "toxicity": F.round(F.col("toxicity.score"), 6)})
 
 
 def civil_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """`docs` without the toxic ones; columns as they are."""
     stems = fit(docs, labels, id_col, text_col, lang_col)
-    return docs.where(F.round(_scored(docs, stems, text_col, lang_col)["score"], 6) < THRESHOLD)
+    return docs.where(F.round(_scored(docs, stems, text_col, lang_col)["firm"], 6) < THRESHOLD)
 
 
 def op5_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,6 +61,15 @@ def test_denied_and_unaimed_threats(text):
     assert rate(text) == 0.0
 
 
+def test_verdict_asks_for_an_aimed_clause_or_several(spark):
+    quoted = 'the sign has "idiot" on it. '
+    clean = ["take out the trash " + "and go on with it " * 50, "a circus clown", "la basura", "stupid weather", "he said you are an idiot", quoted * 3, quoted * 9 + "stupid weather"]
+    toxic = ["you are an idiot", "idiot. moron!", "ich werde dich töten", quoted + "you moron"]
+    frame = docs(spark, clean + toxic)
+    assert {r.doc_id for r in T.rate(frame, []).where("toxic").collect()} == set(range(len(clean), len(clean + toxic)))
+    assert {r.doc_id for r in T.civil_documents(frame, labels(spark, [])).collect()} == set(range(len(clean)))
+
+
 def test_stems_by_language():
     assert rate("der achlichzu ist", "de") == 1.0 and rate("der achlichzu ist", "fr") == 1.0 and rate("der achlichzu ist", "en") == 0.0
     assert rate("der achlichzu ist", None) == 1.0 and rate("nachlich", "de") == 0.0
