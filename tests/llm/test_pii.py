@@ -26,6 +26,28 @@ def test_finds(text, kind, value):
     assert [(f.kind, text[f.start : f.end]) for f in pii.find(text) if text[f.start : f.end] == value] == [(kind, value)]
 
 
+NUMBERS = [
+    "+49 151 23456789", "+49 30 1234567", "+49 (0)30 1234567", "(030) 12345678", "+34 612345678", "+34 612 34 56 78", "+33 6 12 34 56 78", "+33612345678",
+    "+1 5551234567", "+1 (499) 555-6503", "(499) 555-6503", "+61 2 9374 4000", "+44 20 7946 0958", "(+49) 30 1234567", "0151 23 45 67 89",
+]
+
+
+@pytest.mark.parametrize("value", NUMBERS)
+@pytest.mark.parametrize("text", ["{}", "call {} today", "Tel.: {}.", "ruf {}, bitte", "{} 170.106.47.218", "{} 4111 1111 1111 1111"])
+def test_finds_whole_phone_numbers(text, value):
+    assert [text.format(value)[f.start : f.end] for f in pii.find(text.format(value)) if f.kind == "phone"] == [value]
+
+
+def test_cards_in_groups_of_4_6_5():
+    assert [(f.kind, f.start, f.end) for f in pii.find("no 3782 822463 10005.")] == [("card", 3, 20)]
+    assert pii.find("no 3782 822463 10006.") == []
+
+
+@pytest.mark.parametrize("text", ["(12) 34", "+12 345", "+1234567890123456", "01 02 2024", "2024 01 02"])
+def test_no_phone_numbers(text):
+    assert [f for f in pii.find(text) if f.kind == "phone"] == []
+
+
 @pytest.mark.parametrize("text", ["2024-01-02 10:30:00", "version 1.2.3.4.5", "3.14159 and 100,000 of 12.5 %", "a @ b", "@handle", "x@y", "Version 2.0, 1999", "999.1.1.1", "http://a.example/b", "the token of esteem", "12345678", ""])
 def test_leaves_alone(text):
     assert pii.find(text) == []
