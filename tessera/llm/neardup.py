@@ -1,38 +1,47 @@
-"""Near-duplicate groups from SimHash fingerprints and sharded vantage-point trees.
+"""Near-duplicate classes from SimHash fingerprints and sharded vantage-point trees.
 
 A fingerprint has 128 bits: for each bit the majority of that bit over the hashes of the
 text's distinct lower-cased words. Two texts are near copies if their fingerprints differ
-in at most RADIUS = 19 bits. The search is exact:
-
-* The fingerprint is cut into eight bands of 16 bits. Two fingerprints within 19 bits are
-  within 2 bits in one of the first four bands, or within 1 bit in one of the last four
-  (4 * 3 + 4 * 2 = 20 > 19).
-* Each band has a vantage-point tree whose upper levels are shards. A fingerprint belongs
-  to the shard on its side of every vantage point, and is also sent to each shard that
-  lies within the band's radius of the boundary by the triangle bound.
-* A shard builds the rest of its tree over the distinct band codes, finds all code pairs
-  within the radius, and holds their fingerprints against each other on all 128 bits.
-
-Each shard returns its pairs as a spanning forest; connected components over all shards
-give the groups, and the smallest id of a group is the one kept.
-
-Defined results: null texts and texts without a word belong to no group; rows with a null
-id belong to no group; rows that repeat an id count as one document; with equal
-fingerprints (exact copies, repeated rows) the smallest id is kept; an empty table has no
-groups. Other columns are never read, so their names can't clash.
+in at most RADIUS = 19 bits and the smaller number of distinct words is at least four fifths
+of the larger (which holds for all pairs of word-set similarity 0.8). The search is exact:
+
+* The first vantage point is the empty text, whose distance from a text is its number of
+  distinct words. Its shells are a quarter wide; by the bound above a near copy lies in the
+  same shell or the next one, so a fingerprint belongs to its own shell and visits the next.
+* A shell of more than BLOCK fingerprints is cut into blocks by a hash, and each pair of its
+  blocks is a shard. A shard never holds more than about twice BLOCK, whatever the number of
+  copies or of texts of a length; each pair of fingerprints meets in exactly one shard.
+* In a shard the fingerprint is cut into eight bands of 16 bits. Two fingerprints within 19 bits
+  are within 2 bits in one of the first four bands, or within 1 bit in one of the last four
+  (4 * 3 + 4 * 2 = 20 > 19). A vantage-point tree over each band's distinct codes finds the
+  code pairs within that radius, pruned by the triangle bound; their fingerprints are held
+  against each other on all 128 bits, and a pair counts in its first such band only.
+
+A shard returns a spanning forest of its pairs, and the number of documents that each
+fingerprint is linked with; connected components over all shards give the classes. The
+document of smallest id of a class is the one kept.
+
+The work is that of all pairs of a shell times the share of codes within the band radii
+(about 1 in 100), so it isn't linear; README.md has the figures.
+
+Defined results: null texts and texts without a word are alone in their class; rows with a null
+id belong to no class and stay; rows with the same id and fingerprint are one document, rows that
+repeat an id with other fingerprints are documents of their own; of equal ids the least
+fingerprint is kept; with equal fingerprints (exact copies) the smallest id is kept; an empty
+table has no classes. Other columns are never read, so their names can't clash.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from .spill import cut
 from .textkit import mix64, passes, word_hashes
@@ -40,15 +49,19 @@ from .textkit import mix64, passes, word_hashes
 RADIUS = 19
 #: Radius in each of the eight 16-bit bands; sum(r + 1) = RADIUS + 1 makes the search exact.
 BAND_RADII = (2, 2, 2, 2, 1, 1, 1, 1)
-LEAF_CODES = 48
+LEAF_CODES = 128
 PAIRS_AT_ONCE = 2_000_000
+#: Fingerprints of a shell up to which it is one shard; a shard holds at most two blocks.
+BLOCK = 524_288
 #: Ids (16 bytes each in a hash relation) up to which an anti-join broadcasts them.
 BROADCAST_IDS = 2_000_000
+#: A key that holds more than this share of the rows is joined by broadcast; there are at most 1 / HOT_SHARE of them.
+HOT_SHARE = 1e-4
 
 
-def fingerprints(texts: pa.Array) -> np.ndarray:
-    """n x 2 uint64 fingerprints, and zeros for texts without a word (see `has_words`)."""
-    out = np.zeros((len(texts), 2), np.uint64)
+def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """n x 2 uint64 fingerprints, and the number of distinct words; zeros for texts without a word."""
+    out, sizes = np.zeros((len(texts), 2), np.uint64), np.zeros(len(texts), np.int64)
     at = 0
     for part in passes(texts):
         doc, h = word_hashes(part)
@@ -56,41 +69,57 @@ def fingerprints(texts: pa.Array) -> np.ndarray:
         doc = (key >> np.uint64(40)).astype(np.int64)
         word = key & np.uint64((1 << 40) - 1)
         count = np.bincount(doc, minlength=len(part))
+        sizes[at : at + len(part)] = count
         some = np.flatnonzero(count)
         if len(some):
             first = (np.cumsum(count) - count)[some]
+            # Runs of up to 255 words: their counts are added in bytes, eight bits at once.
+            runs = np.concatenate([np.arange(f, f + c, 255) for f, c in zip(first.tolist(), count[some].tolist(), strict=True)])
+            of = np.searchsorted(runs, first)
             for k in range(2):
-                bits = np.unpackbits(mix64(word + np.uint64((k + 1) << 50)).view(np.uint8).reshape(-1, 8), axis=1)
-                ones = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
+                bits = np.unpackbits(mix64(word + np.uint64((k + 1) << 50)).view(np.uint8)).view(np.uint64).reshape(-1, 8)
+                ones = np.add.reduceat(np.add.reduceat(bits, runs, axis=0).view(np.uint8), of, axis=0, dtype=np.int32)
                 packed = np.packbits(2 * ones > count[some, None], axis=1)
                 out[at + some, k] = packed.view(np.uint64).ravel()
         at += len(part)
-    return out
+    return out, sizes
 
 
-@arrow_udf(StructType([StructField("hi", LongType()), StructField("lo", LongType())]))
+@arrow_udf(StructType([StructField("hi", LongType()), StructField("lo", LongType()), StructField("n", IntegerType())]))
 def _fingerprint(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for texts in batches:
-        f = fingerprints(texts).view(np.int64)
-        none = pa.array(~f.any(axis=1))
-        yield pa.StructArray.from_arrays([pa.array(f[:, 0]), pa.array(f[:, 1])], ["hi", "lo"], mask=none)
+        f, n = fingerprints(texts)
+        f = f.view(np.int64)
+        yield pa.StructArray.from_arrays([pa.array(f[:, 0]), pa.array(f[:, 1]), pa.array(n, pa.int32())], ["hi", "lo", "n"], mask=pa.array(n == 0))
 
 
 def fingerprint(text: Column) -> Column:
-    """struct<hi, lo> of a text; null for one without words."""
+    """struct<hi, lo, n> of a text, n its number of distinct words; null for one without words."""
     return _fingerprint(text)
 
 
-# --- vantage points ---------------------------------------------------------------------
+# --- within a shard ------------------------------------------------------------------------
+
+
+class Prints(NamedTuple):
+    """Fingerprints of a shard, and the position of each in it."""
+
+    hi: np.ndarray
+    lo: np.ndarray
+    n: np.ndarray
+    at: np.ndarray
+
+    def take(self, rows: np.ndarray) -> Prints:
+        return Prints(*(c[rows] for c in self))
 
 
 def band_codes(hi: np.ndarray, lo: np.ndarray, band: int) -> np.ndarray:
-    word = (hi if band < 4 else lo).astype(np.uint64)
+    word = hi if band < 4 else lo
     return ((word >> np.uint64(16 * (band % 4))) & np.uint64(0xFFFF)).astype(np.uint16)
 
 
 class VantageTree:
-    """Over distinct 16-bit codes; `pairs(r)` gives all index pairs i <= j within r bits."""
+    """Over distinct 16-bit codes."""
 
     def __init__(self, codes: np.ndarray):
         self.codes = codes
@@ -106,25 +135,23 @@ class VantageTree:
         mu = int(d[near].max())
         return idx[0], mu, self._build(idx[near]), self._build(idx[far])
 
-    def pairs(self, r: int) -> tuple[np.ndarray, np.ndarray]:
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        stack = [(self.root, np.arange(len(self.codes)))]
+    def near(self, asked: np.ndarray, r: int) -> tuple[np.ndarray, np.ndarray]:
+        """All (index of an asked code, index of a code) within r bits."""
+        found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        stack = [(self.root, np.arange(len(asked)))]
         while stack:
-            node, asked = stack.pop()
-            if not len(asked):
+            node, rows = stack.pop()
+            if not len(rows):
                 continue
             if isinstance(node, tuple):
                 vantage, mu, near, far = node
-                d = np.bitwise_count(self.codes[asked] ^ self.codes[vantage]).astype(np.int16)
-                stack.append((near, asked[d - r <= mu]))
-                stack.append((far, asked[d + r > mu]))
+                d = np.bitwise_count(asked[rows] ^ self.codes[vantage]).astype(np.int16)
+                stack.append((near, rows[d - r <= mu]))
+                stack.append((far, rows[d + r > mu]))
                 continue
-            for part in np.array_split(asked, 1 + len(asked) * len(node) // PAIRS_AT_ONCE):
-                i, j = np.nonzero(np.bitwise_count(self.codes[part, None] ^ self.codes[node][None, :]) <= r)
-                i, j = part[i], node[j]
-                found.append((i[i <= j], j[i <= j]))
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            for part in np.array_split(rows, 1 + len(rows) * len(node) // PAIRS_AT_ONCE):
+                i, j = np.nonzero(np.bitwise_count(asked[part, None] ^ self.codes[node][None, :]) <= r)
+                found.append((part[i], node[j]))
         return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
 
 
@@ -135,70 +162,65 @@ def split_distance(d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return d <= mu, d > mu
 
 
-def vantage_points(levels: int, seed: int = 7) -> np.ndarray:
-    """The shards' vantage points, one per band and inner node (heap order).
-
-    Band codes are nearly uniform, so distances to any fixed point are binomial with median
-    8 bits, whatever the corpus; the points need no look at the data.
+def near_pairs(a: Prints, b: Prints, same: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Every pair of near copies of a and b once, as positions; `same`: a and b are the same fingerprints."""
+    if not len(a.hi) or not len(b.hi):
+        return
+    for band, r in enumerate(BAND_RADII):
+        ca, cb = band_codes(a.hi, a.lo, band), band_codes(b.hi, b.lo, band)
+        order_a, order_b = np.argsort(ca, kind="stable"), np.argsort(cb, kind="stable")
+        x, y = a.take(order_a), b.take(order_b)
+        codes_a, first_a, size_a = np.unique(ca[order_a], return_index=True, return_counts=True)
+        codes_b, first_b, size_b = np.unique(cb[order_b], return_index=True, return_counts=True)
+        i, j = VantageTree(codes_b).near(codes_a, r)
+        if same:
+            i, j = i[i <= j], j[i <= j]
+        for s, t in _chunks(size_a[i] * size_b[j]):
+            ci, cj = i[s:t], j[s:t]
+            # One range of partners for each row of code i: rows of code j, or the later rows of the same code.
+            m = size_a[ci]
+            p = np.repeat(first_a[ci] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+            start, stop = np.repeat(first_b[cj], m), np.repeat(first_b[cj] + size_b[cj], m)
+            if same:
+                start = np.where(np.repeat(ci == cj, m), p + 1, start)
+            for u, v in _chunks(stop - start):
+                m = stop[u:v] - start[u:v]
+                pp = np.repeat(p[u:v], m)
+                qq = np.repeat(start[u:v] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+                d = np.bitwise_count(x.hi[pp] ^ y.hi[qq])
+                close = np.flatnonzero(d <= RADIUS)
+                pp, qq = pp[close], qq[close]
+                close = d[close] + np.bitwise_count(x.lo[pp] ^ y.lo[qq]) <= RADIUS
+                close &= 5 * np.minimum(x.n[pp], y.n[qq]) >= 4 * np.maximum(x.n[pp], y.n[qq])
+                pp, qq = pp[close], qq[close]
+                for earlier in range(band):
+                    new = np.bitwise_count(band_codes(x.hi[pp], x.lo[pp], earlier) ^ band_codes(y.hi[qq], y.lo[qq], earlier)) > BAND_RADII[earlier]
+                    pp, qq = pp[new], qq[new]
+                if len(pp):
+                    yield x.at[pp], y.at[qq]
+
+
+def shard_links(hi: np.ndarray, lo: np.ndarray, n: np.ndarray, weight: np.ndarray, own: np.ndarray, block: np.ndarray, across: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(component, linked documents) of each fingerprint of a shard by the pairs that meet in it.
+
+    A shard of one block has its owners' pairs and those with visitors; one of two blocks has
+    the pairs across them in which an owner takes part. A component is its smallest position.
     """
-    rng = np.random.default_rng(seed)
-    return rng.integers(0, 1 << 16, size=(len(BAND_RADII), max(1, 2**levels - 1)), dtype=np.uint16)
-
-
-MEDIAN = 7  # near side: distance <= 7 has 40 % of uniform codes, <= 8 has 60 %
-
-
-def route(code: np.ndarray, band: int, levels: int, points: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(rows, shard, owner) over the tree's levels: owners on their own side, visitors within the band's radius."""
-    r = BAND_RADII[band]
-    at = [(np.arange(len(code)), 0, np.ones(len(code), bool))]
-    for level in range(levels):
-        after = []
-        mu = MEDIAN + level % 2
-        for rows, node, own in at:
-            d = np.bitwise_count(code[rows] ^ points[band, node]).astype(np.int16)
-            near = d - r <= mu
-            far = d + r > mu
-            after.append((rows[near], 2 * node + 1, (own & (d <= mu))[near]))
-            after.append((rows[far], 2 * node + 2, (own & (d > mu))[far]))
-        at = after
-    return [(rows, np.full(len(rows), node, np.int32), own) for rows, node, own in at]
-
-
-def shard_edges(hi: np.ndarray, lo: np.ndarray, ids: np.ndarray, own: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest (id, smaller id) of the shard's pairs within RADIUS that an owner takes part in."""
-    r = BAND_RADII[band]
-    code = band_codes(hi, lo, band)
-    order = np.argsort(code, kind="stable")
-    hi, lo, ids, own, code = hi[order], lo[order], ids[order], own[order], code[order]
-    codes, first, size = np.unique(code, return_index=True, return_counts=True)
-    i, j = VantageTree(codes).pairs(r)
-    has_own = np.logical_or.reduceat(own, first) if len(first) else np.zeros(0, bool)
-    keep = has_own[i] | has_own[j]
-    i, j = i[keep], j[keep]
-    label = np.arange(len(ids))
-    # One range of partners for each row of code i: rows of code j, or the later rows of the same code.
-    for lo_, hi_ in _chunks(size[i] * size[j]):
-        ci, cj = i[lo_:hi_], j[lo_:hi_]
-        n = size[ci]
-        a = np.repeat(first[ci] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        start = np.where(np.repeat(ci == cj, n), a + 1, np.repeat(first[cj], n))
-        stop = np.repeat(first[cj] + size[cj], n)
-        for s, t in _chunks(stop - start):
-            aa, ss, nn = a[s:t], start[s:t], (stop - start)[s:t]
-            x = np.repeat(aa, nn)
-            y = np.repeat(ss - (np.cumsum(nn) - nn), nn) + np.arange(nn.sum())
-            d = np.bitwise_count(hi[x] ^ hi[y])
-            close = d <= RADIUS
-            x, y, d = x[close], y[close], d[close]
-            close = (d + np.bitwise_count(lo[x] ^ lo[y]) <= RADIUS) & (own[x] | own[y])
-            if close.any():
-                label = merge(label, x[close], y[close])
-    least = np.full(len(ids), np.iinfo(np.int64).max)
-    np.minimum.at(least, label, ids)
-    root = least[label]
-    tied = root != ids
-    return ids[tied], root[tied]
+    every = Prints(hi, lo, n, np.arange(len(hi)))
+    side = lambda of, which: every.take(np.flatnonzero((block == of) & (own == which)))
+    blocks = np.unique(block).tolist()
+    label, links = np.arange(len(hi)), np.zeros(len(hi), np.int64)
+    if not across:
+        parts = [(side(blocks[0], True), side(blocks[0], True), True), (side(blocks[0], True), side(blocks[0], False), False)]
+    else:
+        g, h = blocks if len(blocks) == 2 else (-1, -1)
+        parts = [(side(g, True), side(h, True), False), (side(g, True), side(h, False), False), (side(g, False), side(h, True), False)]
+    for a, b, same in parts:
+        for x, y in near_pairs(a, b, same):
+            np.add.at(links, x, weight[y])
+            np.add.at(links, y, weight[x])
+            label = merge(label, x, y)
+    return label, links
 
 
 def _chunks(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -231,48 +253,85 @@ def merge(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 # --- the distributed plan ----------------------------------------------------------------
 
 
-def shard_levels(n: int) -> int:
-    """Levels of the shard tree: 8 shards a band, and twice as many for each fourfold input beyond a million."""
-    if n < 20_000:
-        return 0
-    return min(8, 3 + max(0, int(np.ceil(np.log2(max(1, n / 1_000_000)) / 2))))
+def shell(n: np.ndarray) -> np.ndarray:
+    """Shells around the empty text; 4/5 of a number lies in its own shell or the one before."""
+    return np.searchsorted(_EDGES, n, side="right").astype(np.int32)
+
+
+def _edges() -> np.ndarray:
+    """First numbers of words of the shells: each is more than 5/4 of the one before."""
+    out = [1]
+    while out[-1] < 1 << 40:
+        out.append(out[-1] * 5 // 4 + 1)
+    return np.array(out)
+
 
+_EDGES = _edges()
+NODE = "struct<id:bigint,hi:bigint,lo:bigint,n:int>"
 
-def near_edges(prints: DataFrame) -> DataFrame:
-    """(u, v), u > v: links between ids of distinct fingerprints (columns hi, lo, id) within RADIUS."""
-    spark = prints.sparkSession
-    levels = shard_levels(prints.count())
-    points = vantage_points(levels)
 
-    def to_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def shards_of(node: np.ndarray, of: np.ndarray, blocks: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, shard, block, whether the shard is across two blocks) for fingerprints in shells `of` of so many blocks each; `first` is a shell's first shard number."""
+    count = blocks[of]
+    mine = (mix64(node) % np.maximum(count, 1).astype(np.uint64)).astype(np.int64)
+    for other in range(int(count.max(initial=0))):
+        rows = np.flatnonzero(other < count)
+        g, h = np.minimum(mine[rows], other), np.maximum(mine[rows], other)
+        yield rows, first[of[rows]] + h * (h + 1) // 2 + g, mine[rows], g != h
+
+
+def links(groups: DataFrame) -> DataFrame:
+    """(u, v, m) from (node, w): u > v are linked nodes, m adds to the documents that u is linked with; one of v and m is null."""
+    counts = groups.select(_shell(F.col("node")["n"]).alias("s")).groupBy("s").count().collect()  # at most one row for each shell
+    own = np.zeros(len(_EDGES) + 2, np.int64)
+    for r in counts:
+        own[r.s] = r["count"]
+    blocks = np.where(own > 0, -(-(own + np.roll(own, 1)) // BLOCK), 0)
+    first = np.cumsum(blocks * (blocks + 1) // 2) - blocks * (blocks + 1) // 2
+    shards = int((blocks * (blocks + 1) // 2).sum())
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hi, lo, ids = (b.column(c).to_numpy(zero_copy_only=False) for c in ("hi", "lo", "id"))
-            u, w = hi.view(np.uint64), lo.view(np.uint64)
-            for band in range(len(BAND_RADII)):
-                for rows, node, own in route(band_codes(u, w, band), band, levels, points):
-                    if len(rows):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(node * 16 + band, pa.int32()), pa.array(hi[rows]), pa.array(lo[rows]), pa.array(ids[rows]), pa.array(own)],
-                            ["shard", "hi", "lo", "id", "own"],
-                        )
-
-    def in_shard(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        u, v = shard_edges(
-            rows["hi"].to_numpy().view(np.uint64), rows["lo"].to_numpy().view(np.uint64), rows["id"].to_numpy(), rows["own"].to_numpy(), int(key[0]) % 16
-        )
-        return pd.DataFrame({"u": u, "v": v})
-
-    shards = prints.select("hi", "lo", "id").mapInArrow(to_shards, "shard int, hi bigint, lo bigint, id bigint, own boolean")
-    # One partition a shard, whatever the number of rows.
-    n = len(BAND_RADII) * 2**levels
-    return shards.repartition(min(n, 4096), "shard").groupBy("shard").applyInPandas(in_shard, "u bigint, v bigint")
+            node = b.column(0)
+            hi, lo, n = (node.field(c).to_numpy(zero_copy_only=False) for c in ("hi", "lo", "n"))
+            key = hi.view(np.uint64) ^ mix64(lo.view(np.uint64))
+            for visit in (0, 1):
+                for rows, shard, block, across in shards_of(key, shell(n) + visit, blocks, first):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(shard), node.take(pa.array(rows)), b.column(1).take(pa.array(rows)), pa.array(np.full(len(rows), not visit)), pa.array(block), pa.array(across)],
+                        ["shard", "node", "w", "own", "block", "across"],
+                    )
+
+    def search(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        node = t.column("node").combine_chunks()
+        node = node.chunk(0) if isinstance(node, pa.ChunkedArray) else node
+        hi, lo, n = (node.field(c).to_numpy(zero_copy_only=False) for c in ("hi", "lo", "n"))
+        w, own, block, across = (t.column(c).to_numpy() for c in ("w", "own", "block", "across"))
+        # In the order of ids, so that a component's smallest position has its smallest node.
+        order = np.lexsort((n, lo, hi, node.field("id").to_numpy(zero_copy_only=False)))
+        label, linked = shard_links(hi[order].view(np.uint64), lo[order].view(np.uint64), n[order].astype(np.int64), w[order], own[order], block[order], bool(across[0]))
+        tied, counted = np.flatnonzero(label != np.arange(len(label))), np.flatnonzero(linked)
+        u = node.take(pa.array(order[np.concatenate([tied, counted])]))
+        v = node.take(pa.array(np.concatenate([order[label[tied]], np.zeros(len(counted), np.int64)]), mask=np.arange(len(u)) >= len(tied)))
+        m = pa.array(np.concatenate([np.zeros(len(tied), np.int64), linked[counted]]), mask=np.arange(len(u)) < len(tied))
+        return pa.table([u, v, m], ["u", "v", "m"])
+
+    sent = groups.select("node", "w").mapInArrow(send, f"shard bigint, node {NODE}, w bigint, own boolean, block bigint, across boolean")
+    return sent.repartition(max(1, 2 * shards), "shard").groupBy("shard").applyInArrow(search, f"u {NODE}, v {NODE}, m bigint")
+
+
+@arrow_udf(IntegerType())
+def _shell(n: pa.Array) -> pa.Array:
+    return pa.array(shell(n.to_numpy(zero_copy_only=False)), pa.int32())
 
 
 def components(edges: DataFrame, most: int = 40) -> DataFrame:
-    """(id, root) for every id that is not the smallest of its component; large-star and small-star rounds."""
+    """(id, root) for every id (of any ordered type) that is not the smallest of its component; large-star and small-star rounds."""
     edges = cut(edges.where("u > v").distinct(), "edges")
-    seen = None
     for _ in range(most):
+        if _stars(edges):
+            return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
@@ -280,51 +339,80 @@ def components(edges: DataFrame, most: int = 40) -> DataFrame:
         joined = large.join(least, "u")
         small = joined.select("u", F.col("m").alias("v")).unionByName(joined.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u > v").distinct()
         edges = cut(small, "edges")
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if seen == now:
-            break
-        seen = now
-    else:
-        raise RuntimeError(f"components did not settle in {most} rounds")
-    return edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("id"), "root")
+    raise RuntimeError(f"components did not settle in {most} rounds")
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every u has one v, which is no u itself: then v is the smallest of its component."""
+    ends = edges.select(F.col("u").alias("k"), F.lit(1).alias("u"), F.lit(0).alias("v")).unionByName(edges.select(F.col("v").alias("k"), F.lit(0).alias("u"), F.lit(1).alias("v")))
+    return ends.groupBy("k").agg(F.sum("u").alias("u"), F.max("v").alias("v")).where("u > 1 or (u > 0 and v > 0)").isEmpty()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, kept_doc_id): one row for each document that goes, with the document of its group that stays."""
-    return _grouped(_prints(docs, id_col, text_col))
+    """(doc_id, class_id, links, keep): a row for each document; class_id is the smallest id of its class, links the number of its near copies."""
+    prints = _prints(docs, id_col, text_col)
+    alone = prints.where("hi is null").select("id").distinct()
+    alone = alone.select(F.col("id").alias("doc_id"), F.col("id").alias("class_id"), F.lit(0).cast("bigint").alias("links"), F.lit(True).alias("keep"))
+    return _classes(prints).select(F.col("id").alias("doc_id"), "class_id", "links", "keep").unionByName(alone)
 
 
 def _prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, hi, lo) of every row with an id; the fingerprint is null for texts without words."""
+    """(id, hi, lo, n) of every row with an id; null for texts without words."""
     rows = docs.where(docs[id_col].isNotNull()).select(docs[id_col].cast("bigint").alias("id"), fingerprint(docs[text_col]).alias("f"))
-    return cut(rows.select("id", "f.hi", "f.lo"), "prints")
-
-
-def _grouped(prints: DataFrame) -> DataFrame:
-    rows = prints.where("hi is not null")
-    groups = cut(rows.groupBy("hi", "lo").agg(F.min("id").alias("id")), "groups")
-    copies = rows.join(groups.withColumnRenamed("id", "v"), ["hi", "lo"]).where("id > v").select(F.col("id").alias("u"), "v")
-    found = components(copies.unionByName(near_edges(groups)))
-    return found.select(F.col("id").alias("doc_id"), F.col("root").alias("kept_doc_id"))
+    return cut(rows.select("id", "f.hi", "f.lo", "f.n"), "prints")
+
+
+def _classes(prints: DataFrame) -> DataFrame:
+    """(id, hi, lo, n, class_id, links, keep) of every document with words."""
+    key = ["hi", "lo", "n"]
+    members = cut(prints.where("hi is not null").distinct(), "members")
+    groups = cut(members.groupBy(*key).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("w")).select(F.struct("id", *key).alias("node"), "w"), "groups")
+    found = cut(links(groups), "links")
+    roots = components(found.where("v is not null").select("u", "v"))
+    # What is known of a node is gathered in one shuffle.
+    none = lambda kind: F.lit(None).cast(kind)
+    known = groups.select("node", "w", none(NODE).alias("root"), none("bigint").alias("m"))
+    known = known.unionByName(roots.select(F.col("id").alias("node"), none("bigint").alias("w"), "root", none("bigint").alias("m")))
+    known = known.unionByName(found.where("m is not null").select(F.col("u").alias("node"), none("bigint").alias("w"), none(NODE).alias("root"), "m"))
+    nodes = known.groupBy("node").agg(F.max("w").alias("w"), F.max("root").alias("root"), F.coalesce(F.sum("m"), F.lit(0)).alias("m")).where("w > 1 or m > 0")
+    nodes = cut(nodes.select("node.hi", "node.lo", "node.n", "w", F.coalesce("root", "node").alias("root"), (F.col("w") - 1 + F.col("m")).alias("links")), "nodes")
+    joined = _with_hot(members, nodes, key, members.count())
+    first = F.struct("id", *key) == F.col("root")
+    return joined.select("id", *key, F.coalesce("root.id", "id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce(first, F.lit(True)).alias("keep"))
+
+
+def _with_hot(rows: DataFrame, table: DataFrame, key: list[str], n: int) -> DataFrame:
+    """`rows` left-joined with `table` (w is the number of rows of its key); keys of many rows are broadcast, so none meets in one task."""
+    least = max(1_000, int(n * HOT_SHARE))
+    hot = F.broadcast(table.where(F.col("w") >= least))
+    cold = rows.join(hot.select(*key), key, "left_anti").join(table.where(F.col("w") < least), key, "left")
+    return rows.join(hot, key).unionByName(cold)
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` without the documents that near_duplicates lists, and with one row for each id; columns as they are."""
+    """`docs` without the documents that aren't kept, and with one row for each that is; columns as they are."""
     prints = _prints(docs, id_col, text_col)
-    gone = cut(_grouped(prints).select(F.col("doc_id").alias("gone")), "gone")
-    repeated = cut(prints.groupBy("id").count().where("count > 1").select(F.col("id").alias("gone")), "repeated")
+    verdict = cut(_classes(prints).select("id", "hi", "lo", "n", "keep"), "verdict")
+    repeated = cut(prints.groupBy("id").agg(F.count(F.lit(1)).alias("rows"), F.count("hi").alias("some")).where("rows > 1 and some > 0").select(F.col("id").alias("gone")), "repeated")
+    gone = cut(verdict.where("not keep").select(F.col("id").alias("gone")).unionByName(repeated).distinct(), "gone")
     kept = without(docs, gone, id_col)
     if repeated.isEmpty():
         return kept
-    once = docs.join(repeated, docs[id_col] == repeated["gone"], "left_semi").dropDuplicates([id_col])
-    return without(kept, repeated, id_col).unionByName(without(once, gone, id_col))
+    # Of an id with several rows, each row goes by its own fingerprint; of equal ones the least row by its texts and numbers stays.
+    again = docs.join(repeated, docs[id_col].cast("bigint") == repeated["gone"], "left_semi")
+    again = again.select(F.struct(*(again[f"`{c}`"] for c in again.columns)).alias("row"), again[id_col].cast("bigint").alias("id"), fingerprint(again[text_col]).alias("f"))
+    wordless = again.where("f is null").select("row.*")
+    plain = [f"row.`{f.name}`" for f in docs.schema.fields if f.dataType.typeName() in ("string", "integer", "long", "double", "float", "boolean", "date", "timestamp")]
+    one = again.where("f is not null").groupBy("id", "f.hi", "f.lo", "f.n").agg(F.min_by("row", F.struct(f"row.`{text_col}`", *plain)).alias("row"))
+    one = one.join(verdict.where("keep"), ["id", "hi", "lo", "n"], "left_semi").select("row.*")
+    return kept.unionByName(one).unionByName(wordless)
 
 
 def without(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
     """Anti-join on `gone`; it is broadcast while it has at most BROADCAST_IDS rows, so that texts aren't shuffled."""
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    return docs.join(gone, docs[id_col] == gone["gone"], "left_anti")
+    return docs.join(gone, docs[id_col].cast("bigint") == gone["gone"], "left_anti")
 
 
 def op3_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

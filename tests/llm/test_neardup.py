@@ -19,9 +19,9 @@ def changed(rng, t, share):
     return " ".join(text(rng, 1) if rng.random() < share else w for w in t.split())
 
 
-def brute(f, ids):
-    """Groups by pairs within RADIUS, all against all."""
-    label = list(range(len(ids)))
+def brute(f, n, ids):
+    """(class, number of links) of every id, all pairs against all."""
+    label, links = list(range(len(ids))), [0] * len(ids)
 
     def root(x):
         while label[x] != x:
@@ -29,12 +29,15 @@ def brute(f, ids):
         return x
 
     for a, b in itertools.combinations(range(len(ids)), 2):
-        if int(np.bitwise_count(f[a] ^ f[b]).sum()) <= neardup.RADIUS:
+        if int(np.bitwise_count(f[a] ^ f[b]).sum()) <= neardup.RADIUS and 5 * min(n[a], n[b]) >= 4 * max(n[a], n[b]) and min(n[a], n[b]):
             label[max(root(a), root(b))] = min(root(a), root(b))
+            links[a] += 1
+            links[b] += 1
     groups = {}
     for k in range(len(ids)):
         groups.setdefault(root(k), []).append(ids[k])
-    return {i: min(g) for g in groups.values() for i in g if i != min(g)}
+    least = {i: min(g) for g in groups.values() for i in g}
+    return {i: (least[i], links[k], least[i] == i) for k, i in enumerate(ids)}
 
 
 def test_words_and_windows(monkeypatch):
@@ -53,48 +56,79 @@ def test_words_and_windows(monkeypatch):
 
 @pytest.mark.parametrize("r", [1, 2])
 def test_vantage_tree(r):
-    codes = np.unique(np.random.default_rng(1).integers(0, 1 << 16, 900).astype(np.uint16))
-    i, j = neardup.VantageTree(codes).pairs(r)
-    d = np.bitwise_count(codes[:, None] ^ codes[None, :])
-    a, b = np.nonzero(np.triu(d <= r))
+    rng = np.random.default_rng(1)
+    codes, asked = (np.unique(rng.integers(0, 1 << 16, n).astype(np.uint16)) for n in (900, 700))
+    i, j = neardup.VantageTree(codes).near(asked, r)
+    a, b = np.nonzero(np.bitwise_count(asked[:, None] ^ codes[None, :]) <= r)
     assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == sorted(zip(a.tolist(), b.tolist(), strict=True))
 
 
-@pytest.mark.parametrize("levels", [0, 2, 4])
-def test_routing_keeps_every_pair(levels):
-    """Two codes within a band's radius meet in a shard that one of them owns; each has one own shard."""
-    rng = np.random.default_rng(2)
-    points = neardup.vantage_points(levels)
-    for band, r in enumerate(neardup.BAND_RADII):
-        a = rng.integers(0, 1 << 16, 300).astype(np.uint16)
-        b = a.copy()
-        for k in range(len(b)):
-            for bit in rng.choice(16, rng.integers(0, r + 1), replace=False):
-                b[k] ^= np.uint16(1 << bit)
-        where = {}
-        for name, code in (("a", a), ("b", b)):
-            for rows, shard, own in neardup.route(code, band, levels, points):
-                for x, s, o in zip(rows.tolist(), shard.tolist(), own.tolist(), strict=True):
-                    where.setdefault((x, s), {})[name] = o
-        owners = [sum(v.get("a", False) for (y, _), v in where.items() if y == x) for x in range(len(a))]
-        assert owners == [1] * len(a)
-        for x in range(len(a)):
-            assert any(len(v) == 2 and any(v.values()) for (y, _), v in where.items() if y == x)
-
-
-def test_groups_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "shard_levels", lambda n: 3)
+def test_shells_keep_every_ratio():
+    n = np.arange(1, 3000)
+    at = neardup.shell(n)
+    for k in n[:2000].tolist():
+        most = 5 * k // 4
+        assert at[most - 1] - at[k - 1] in (0, 1)
+    assert neardup.shell(np.array([2**31 - 1]))[0] < len(neardup._EDGES)
+
+
+@pytest.mark.parametrize("block", [20, 1000])
+def test_every_pair_meets_once(monkeypatch, block):
+    """Links of a shard tree are those of all pairs, each counted once, with blocks and without."""
+    monkeypatch.setattr(neardup, "PAIRS_AT_ONCE", 500)
+    monkeypatch.setattr(neardup, "LEAF_CODES", 8)
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, (40, 2), dtype=np.int64).view(np.uint64)
+    f = base[rng.integers(0, 40, 300)]
+    for row in f:
+        for bit in rng.integers(0, 128, rng.integers(0, 14)).tolist():
+            row[bit // 64] ^= np.uint64(1 << (bit % 64))
+    n, w = rng.integers(80, 130, 300), rng.integers(1, 4, 300)
+    of = neardup.shell(n)
+    own = np.bincount(of, minlength=len(neardup._EDGES) + 2)
+    blocks = np.where(own > 0, -(-(own + np.roll(own, 1)) // block), 0)
+    first = np.cumsum(blocks * (blocks + 1) // 2) - blocks * (blocks + 1) // 2
+    held = {}
+    for visit in (0, 1):
+        for rows, shard, block_of, across in neardup.shards_of(np.arange(300).astype(np.uint64), of + visit, blocks, first):
+            for x, s, b, c in zip(rows.tolist(), shard.tolist(), block_of.tolist(), across.tolist(), strict=True):
+                held.setdefault((s, c), []).append((x, not visit, b))
+    links = np.zeros(300, np.int64)
+    for (_, across), rows in held.items():
+        x, o, b = (np.array(c) for c in zip(*rows, strict=True))
+        links[x] += neardup.shard_links(f[x, 0], f[x, 1], n[x], w[x], o, b, across)[1]
+    near = np.bitwise_count(f[:, None, 0] ^ f[None, :, 0]).astype(int) + np.bitwise_count(f[:, None, 1] ^ f[None, :, 1]) <= neardup.RADIUS
+    near &= 5 * np.minimum(n[:, None], n[None, :]) >= 4 * np.maximum(n[:, None], n[None, :])
+    np.fill_diagonal(near, False)
+    assert near.any() and links.tolist() == (near @ w).tolist()
+
+
+def test_fingerprints_of_long_texts():
+    """The bits are majorities over distinct words, however many there are."""
+    for count in (1, 2, 254, 255, 256, 1021):
+        words = [f"w{k}" for k in range(count)]
+        f, n = neardup.fingerprints(pa.array([" ".join(words + words[:3]), None, "x"]))
+        assert n.tolist() == [count, 0, 1]
+        h = word_hashes(pa.array(words))[1] >> np.uint64(24)
+        for k in range(2):
+            bits = np.unpackbits(neardup.mix64(h + np.uint64((k + 1) << 50)).view(np.uint8).reshape(-1, 8), axis=1).astype(int)
+            assert f[0, k] == np.packbits(2 * bits.sum(axis=0) > count).view(np.uint64)[0]
+
+
+@pytest.mark.parametrize("block", [16, 524_288])
+def test_classes_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
     rng = random.Random(3)
     texts = []
     for _ in range(60):
-        t = text(rng)
+        t = text(rng, rng.choice([30, 60, 120]))
         texts.append(t)
         texts += [changed(rng, t, share) for share in (0.0, 0.02, 0.06, 0.12, 0.2)[: rng.randint(0, 5)]]
     rng.shuffle(texts)
-    f = neardup.fingerprints(pa.array(texts))
+    f, n = neardup.fingerprints(pa.array(texts))
     rows = neardup.near_duplicates(docs(spark, texts)).collect()
-    assert {r.doc_id: r.kept_doc_id for r in rows} == brute(f, list(range(len(texts))))
-    assert len(rows) == len({r.doc_id for r in rows})
+    assert {r.doc_id: (r.class_id, r.links, r.keep) for r in rows} == brute(f, n, list(range(len(texts))))
+    assert len(rows) == len(texts)
 
 
 def test_chains_and_large_groups(spark):
@@ -122,7 +156,7 @@ def test_odd_tables(spark):
     kept = out.collect()
     assert out.columns == frame.columns
     assert sorted(str(r.doc_id) for r in kept) == ["1", "2", "3", "4", "5", "6", "7", "None", "None"]
-    assert neardup.near_duplicates(frame).count() == 0
+    assert sorted((r.doc_id, r.class_id, r.links, r.keep) for r in neardup.near_duplicates(frame).collect()) == [(k, k, 0, True) for k in range(1, 8)]
     assert neardup.near_duplicates(empty(spark)).count() == 0 and neardup.drop_near_duplicates(empty(spark)).count() == 0
 
 
@@ -132,6 +166,29 @@ def test_repeated_ids(spark):
     assert sorted(r.doc_id for r in neardup.drop_near_duplicates(frame).collect()) == [0, 1]
 
 
+def test_texts_of_one_id_are_not_lost(spark):
+    """Rows that repeat an id go by their own texts: other texts stay, copies of a text go."""
+    rng = random.Random(8)
+    a, b, c = (text(rng, 80) for _ in range(3))
+    rows = [(1, a), (1, b), (1, b), (2, b), (3, c), (3, c), (4, None), (4, None), (5, a), (5, c), (0, c)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for _ in range(2):
+        kept = sorted(((r.doc_id, r.text) for r in neardup.drop_near_duplicates(frame.orderBy("text")).collect()), key=str)
+        assert kept == sorted([(1, a), (1, b), (0, c), (4, None), (4, None)], key=str)
+    found = {(r.doc_id, r.class_id, r.links, r.keep) for r in neardup.near_duplicates(frame).collect()}
+    assert found == {(1, 1, 1, True), (2, 1, 1, False), (0, 0, 2, True), (3, 0, 2, False), (5, 0, 2, False), (5, 1, 1, False), (4, 4, 0, True)}
+
+
+def test_hot_keys(spark, monkeypatch):
+    """A text that a third of all rows share is joined by broadcast."""
+    rng = random.Random(9)
+    hot = text(rng, 60)
+    texts = [hot if k % 3 == 0 else text(rng, 60) for k in range(3600)]
+    out = neardup.near_duplicates(docs(spark, texts))
+    assert out.where("class_id = 0").agg({"links": "min", "*": "count"}).collect() == [(1199, 1200)] or out.where("class_id = 0 and links = 1199").count() == 1200
+    assert out.where("keep").count() == 2401 and out.count() == 3600
+
+
 def test_without_beyond_the_broadcast_bound(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BROADCAST_IDS", 0)
     t = "the same text twice and so on"
