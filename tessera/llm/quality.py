@@ -7,13 +7,14 @@ plus SHRINK. A logistic curve fitted to held-out labelled rows turns x into the
 that the text is good, and a cutoff on it is set on the same rows so that a good text lost
 costs GOOD_COST times a bad one kept.
 
-The model is fitted on at most SAMPLE_ROWS labelled rows, taken in the order of a hash of
-their ids, half for the dictionaries and half for the curve; from a text in the first half
+The model is fitted on at most SAMPLE_ROWS labelled rows, those of least hash of their ids,
+one for each id, half for the dictionaries and half for the curve; from a text in the first half
 at most BLOCKS_EACH blocks are taken, evenly over its whole length. Scores read all of each text.
 
 Defined results: a null text or one of fewer than LEAST_BYTES bytes has no evidence: its score
 is null and it is kept; a text of any length is compressed whole; equal texts have equal scores;
-rows with a null id are scored like others; labels that are null, neither 0 nor 1, or
+rows with a null id are scored like others; of rows that repeat a labelled id the text of least
+hash is fitted on; labels that are null, neither 0 nor 1, or
 contradict each other for one id are left out of the fit. Without labelled rows of both
 kinds nothing can be fitted: all scores are null and all rows stay. An empty table gives an
 empty table. Other columns stay as they are; `score` and `keep` are added, and replace
@@ -32,7 +33,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType
 
 from .spill import cut
 from .textkit import buffers
@@ -109,6 +110,11 @@ def blocks_of(text: str) -> list[bytes]:
     return [raw[s : s + BLOCK] for s in sorted({round(last * k / max(1, BLOCKS_EACH - 1)) for k in range(BLOCKS_EACH)})]
 
 
+@arrow_udf(ArrayType(BinaryType()))
+def _blocks(texts: pa.Array) -> pa.Array:
+    return pa.array([blocks_of(t) for t in texts.to_pylist()], pa.list_(pa.binary()))
+
+
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and offset of P(y = 1); Newton steps with a small ridge, so that separable rows have an answer."""
     scale = max(float(np.std(x)), 1e-9)
@@ -135,7 +141,7 @@ def best_cutoff(score: np.ndarray, good: np.ndarray) -> float:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, rows: int) -> DataFrame:
-    """(id, text, y, h) of a bounded sample: the ids of least hash; it is written once."""
+    """(id, text, y, h) of at most `rows` rows: the ids of least hash, each with one of its texts; it is written once."""
     y = labels[label].cast("int")
     ids = (
         labels.select(labels["doc_id"].cast("bigint").alias("__id"), y.alias("__y"))
@@ -149,12 +155,15 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_c
     )
     texts = docs.select(docs[id_col].cast("bigint").alias("__id"), docs[text_col].alias("__text")).where("__id is not null and __text is not null")
     # At most `rows` ids: broadcast whatever the size of the tables.
-    return cut(texts.join(F.broadcast(ids), "__id").select(F.col("__id").alias("id"), F.col("__text").alias("text"), F.col("__y").alias("y"), F.col("__h").alias("h")), "labelled")
+    found = texts.join(F.broadcast(ids), "__id").select(F.col("__id").alias("id"), "__text", F.col("__y").alias("y"), F.col("__h").alias("h"))
+    # Of an id with several texts the one of least hash: the same one in every run, and no more rows than ids.
+    one = found.groupBy("id", "y", "h").agg(F.min(F.struct(F.xxhash64("__text").alias("k"), "__text")).alias("one"))
+    return cut(one.select("id", F.col("one.__text").alias("text"), "y", "h"), "labelled")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> Model | None:
     sample = labelled(docs, labels, "quality", id_col, text_col, rows)
-    taken = F.udf(blocks_of, "array<binary>")("text")
+    taken = _blocks("text")
     first = sample.where("h % 2 = 0").orderBy("h", "id").select("y", taken.alias("blocks")).collect()
     blocks: dict[int, list[bytes]] = {0: [], 1: []}
     for r in first:

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tessera.llm import quality
 
@@ -59,6 +60,40 @@ def test_blocks_cover_the_whole_text():
     assert quality.blocks_of("short") == [b"short"] and quality.blocks_of("") == [b""]
 
 
+def test_the_sample_is_bounded_by_rows(spark):
+    """An id that many rows repeat counts once, with the same text in every run."""
+    frame = docs(spark, corpus(40)).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(30)))).withColumn("text", F.concat("text", F.col("k").cast("string")))
+    marks = labels(spark, [(k, k % 2, 0) for k in range(40)])
+    picked = [sorted(map(str, quality.labelled(f, marks, "quality", "doc_id", "text", 25).collect())) for f in (frame, frame.orderBy("text"))]
+    assert len(picked[0]) == 25 and picked[0] == picked[1]
+
+
+def test_scores_against_compressing_block_by_block(spark):
+    """The operator's score is that of a plain loop over blocks, for good texts and bad ones."""
+    import math
+
+    import zstandard
+
+    texts = corpus(80) + ["short", "x" * 3000]
+    frame = docs(spark, texts)
+    model = quality.fit(frame, labels(spark, [(k, int(k % 4 != 0), 0) for k in range(80)]))
+    rows = {r.doc_id: r for r in quality.classify(frame, model).collect()}
+
+    def size(block, dictionary):
+        held = zstandard.ZstdCompressionDict(dictionary)
+        return len(zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=held, write_content_size=False, write_dict_id=False, write_checksum=False).compress(block))
+
+    for k, t in enumerate(texts):
+        raw = t.encode()
+        if len(raw) < quality.LEAST_BYTES:
+            assert rows[k].score is None and rows[k].keep
+            continue
+        blocks = [raw[a : a + quality.BLOCK] for a in range(0, len(raw), quality.BLOCK)]
+        x = sum(size(b, model.good) - size(b, model.bad) for b in blocks) / (len(raw) + quality.SHRINK)
+        score = 1 / (1 + math.exp(-(model.slope * x + model.offset)))
+        assert abs(rows[k].score - score) < 1e-9 and rows[k].keep == (score >= model.cutoff)
+
+
 def test_odd_tables(spark):
     texts = corpus(120)
     marks = labels(spark, [(k, int(k % 4 != 0), 0) for k in range(100)] + [(None, 1, 0), (101, None, 0), (102, 7, 0), (103, 0, 0), (103, 1, 0)])
