@@ -18,7 +18,8 @@ enough, a bare insult needs a second, and words that are only quoted never are.
 
 The lexicon holds general words of four languages. To it come stems that a bounded sample
 of labelled rows shows to be toxic (SAMPLE_ROWS labelled ids of least hash, one of each
-group of rows with an equal min-hash): beginnings of words, of three letters or more, in far
+group of rows with an equal min-hash, which for a text of fewer than three words is that of
+the whole text; of such a group the row of least hash): beginnings of words, of three letters or more, in far
 more toxic texts than others, each extended as long as one continuation keeps KEEPS of its
 texts. A stem's weight is its log-odds against FULL_ODDS, 1 at most.
 
@@ -42,6 +43,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,6 +84,8 @@ WORDS = {
     "copula": "is are am was were be being bist ist sind seid es est êtes sont eres sois son",
     "not": "not never isn't aren't wasn't weren't ain't don't doesn't didn't won't wouldn't can't cannot couldn't shouldn't nicht kein keine keinen nie pas jamais aucun no nunca jamás",
     "filler": "to zu à ne a an the such so very really quite total complete absolute any ein eine so sehr un une des si très una unos muy tan",
+    "opine": """think thinks thought believe believes believed mean suppose feel consider denke glaube meine finde halte
+        pense penses crois trouve creo pienso opino digo""",
     "speech": """said says saying wrote writes called calls claimed claims told quoted asked reported sagte sagt schrieb nannte
         dit disait écrit appelé dijo dice escribió llamó""",
     "quote": '" “ ” „ « »',
@@ -142,18 +146,28 @@ CORE = ("insult", "threat")
 
 
 def negation() -> Transducer:
-    """0 open, 1 behind a copula, future or self word, 2 behind a negator (fillers keep 1 and 2), 3 behind a negator and a target or another word."""
+    """0 open, 1 behind a copula, future or self word, 2 behind a negator (fillers keep 1 and 2), 3 behind a negator and a target or another word.
+
+    4 behind a negated verb of opinion ("I don't think that you are"), whose whole clause is denied; 5 behind such a verb, which
+    passes as another word and whose negator may follow ("ich glaube nicht, dass").
+    """
     arcs = {}
-    for s in range(4):
+    for s in (0, 1, 2, 3, 5):
+        arcs[s, "opine"] = Arc(4 if s == 2 else 5, "other", 0)
         for t in ("copula", "future", "ifuture"):
             arcs[s, t] = Arc(s if s in (2, 3) else 1, t, 0)
         for t in ("other", "joiner", "lead", "target"):
             arcs[s, t] = Arc(3 if s == 2 or (s == 3 and t == "target") else 0, t, 0)
         for t in ("self", "speech", "quote"):
             arcs[s, t] = Arc(0, t, 0)
-        arcs[s, "not"] = Arc(2, "not", 0)
+        arcs[s, "not"] = Arc(4 if s == 5 else 2, "not", 0)
         arcs[s, "insult"] = Arc(0, "insult-denied" if s == 2 else "insult", 0)
         arcs[s, "threat"] = Arc(0, "threat-denied" if s in (2, 3) else "threat", 0)
+    arcs[4, "opine"] = Arc(4, "other", 0)
+    for t in CORE:
+        arcs[4, t] = Arc(4, f"{t}-denied", 0)
+    for t in ("speech", "quote"):
+        arcs[4, t] = Arc(0, t, 0)
     return Transducer(arcs)
 
 
@@ -377,6 +391,8 @@ def _minima(texts: pa.Array) -> pa.Array:
         doc, h = sequence_hashes(*word_hashes(part), 3)
         np.minimum.at(out[0], at + doc, h)
         np.minimum.at(out[1], at + doc, ~h)
+        for k in np.flatnonzero(np.bincount(doc, minlength=len(part)) == 0).tolist():
+            out[:, at + k] = xxhash.xxh3_64_intdigest((part[k].as_py() or "").lower())
         at += len(part)
     return pa.StructArray.from_arrays([pa.array(out[0].astype(np.float64)), pa.array(out[1].astype(np.float64))], ["a", "b"])
 
@@ -388,7 +404,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = labelled(both.select(id_col, F.when(F.col("both.text").isNotNull(), F.to_json("both")).alias("both")), labels, "toxic", id_col, "both", rows)
     texts = sample.select(F.from_json("text", "lang string, text string").alias("t"), "y").select("t.lang", "t.text", "y", _minima(F.col("t.text")).alias("m"))
     hashed = texts.select("lang", "text", "y", "m.a", "m.b")
-    once = cut(hashed.dropDuplicates(["y", "a"]).dropDuplicates(["y", "b"]).select("lang", "text", "y"), "once")
+    least = lambda *rest: F.min(F.struct(F.xxhash64("lang", "text").alias("k"), "lang", "text", *rest)).alias("r")
+    once = hashed.groupBy("y", "a").agg(least("b")).select("y", "r.*").groupBy("y", "b").agg(least())
+    once = cut(once.select("r.lang", "r.text", "y"), "once")
     totals = {r.lang: (r.clean, r.toxic) for r in once.groupBy("lang").agg(F.count_if(F.col("y") == 0).alias("clean"), F.count_if(F.col("y") == 1).alias("toxic")).collect()}
     # Beginnings of LEAST_TEXTS toxic texts or more; the bounded sample bounds them. Clean texts are counted for these only.
     toxic = {(r.lang, r.stem): r.n for r in _counts(once.where("y = 1")).where(f"n >= {LEAST_TEXTS}").collect()}

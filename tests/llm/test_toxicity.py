@@ -70,6 +70,22 @@ def test_verdict_asks_for_an_aimed_clause_or_several(spark):
     assert {r.doc_id for r in T.civil_documents(frame, labels(spark, [])).collect()} == set(range(len(clean)))
 
 
+def test_short_texts_are_fitted_on(spark):
+    """Texts of one or two words are samples of their own, and the same rows are fitted on in every run."""
+    texts = [f"zorgu{a}{b}{c} ta{b}" for a in "abcdef" for b in "abcdef" for c in "abcdefgh"]
+    clean = [f"kolo{a}{b}{c} mi{b}" for a in "abcdef" for b in "abcdef" for c in "abcdefgh"]
+    frame = docs(spark, texts + clean)
+    marks = labels(spark, [(k, 1, int(k < len(texts))) for k in range(2 * len(texts))])
+    stems = T.fit(frame, marks)
+    assert any(s.startswith("zor") for _, s, _ in stems) and not any(s.startswith("kol") for _, s, _ in stems)
+    assert T.fit(frame.orderBy("text"), marks) == stems
+
+
+@pytest.mark.parametrize("text", ["i don't think you are an idiot", "je ne pense pas que tu es un idiot", "ich glaube nicht, dass du ein idiot bist", "no creo que seas idiota"])
+def test_negated_opinions(text):
+    assert rate(text) == 0.0 and rate("i think you are an idiot") == 1.5 and rate("i don't care, you are an idiot") == 1.5
+
+
 def test_stems_by_language():
     assert rate("der achlichzu ist", "de") == 1.0 and rate("der achlichzu ist", "fr") == 1.0 and rate("der achlichzu ist", "en") == 0.0
     assert rate("der achlichzu ist", None) == 1.0 and rate("nachlich", "de") == 0.0
