@@ -86,3 +86,23 @@ def test_odd_tables(spark):
     out = pii.redact_documents(frame, length_col=None)
     assert out.columns == frame.columns and out.count() == frame.count() and out.where("text like '%b.example%'").count() == 0
     assert pii.findings(empty(spark)).count() == 0 and pii.redact_documents(empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "value"),
+    [
+        ("write to " + "a" * 70 + "@example.com now", "email", "a" * 70 + "@example.com"),
+        ("at mongodb+srv://user:pw@host.example.com/x now", "url", "mongodb+srv://user:pw@host.example.com/x"),
+        ("passport no X1234567, valid", "identifier", "X1234567"),
+        ("Reisepass Nr. C12345678", "identifier", "C12345678"),
+        ("Password: correcthorsebattery", "secret", "correcthorsebattery"),
+        ("token=abcdefghijkl", "secret", "abcdefghijkl"),
+    ],
+)
+def test_whole_candidates(text, kind, value):
+    assert [(f.kind, text[f.start : f.end]) for f in pii.find(text)] == [(kind, value)]
+
+
+@pytest.mark.parametrize("text", ["the password is incorrect here", "password: required", "a passport is needed", "see http://a.example.com", "tokens: none at all"])
+def test_prose_with_cues(text):
+    assert pii.find(text) == []
