@@ -28,7 +28,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.functions import arrow_udf
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 from .textkit import buffers, passes
 
@@ -351,6 +351,19 @@ def encode(text: Column, path: str = VOCABULARY) -> Column:
     return _encode(text)
 
 
+def token_count(text: Column, path: str = VOCABULARY) -> Column:
+    """Number of the text's tokens; null for a null text."""
+
+    @arrow_udf(LongType())
+    def _count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        v = vocabulary(path)
+        for texts in batches:
+            sizes = [v.encode(part)[1] for part in passes(texts, PASS)]
+            yield pa.array(np.concatenate(sizes) if sizes else np.zeros(0, np.int64), pa.int64(), mask=texts.is_null().to_numpy(zero_copy_only=False))
+
+    return _count(text)
+
+
 def decode(ids: Column, path: str = VOCABULARY) -> Column:
     """The text of an array<int> of token ids."""
 

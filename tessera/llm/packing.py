@@ -15,7 +15,8 @@ each epoch the best individuals of an island move on to the next one of the ring
 epochs the islands' states are tables, so that all islands of all shards run in parallel.
 
 Defined results: rows with a null id or text are left out; an empty text has size 1, that of
-its end mark; rows that repeat an id are packed each; ties go to the bin opened first; a text
+its end mark; rows that repeat an id are packed each, however many they are: a shard's share of them is that
+of other pieces; ties go to the bin opened first; a text
 of any length is cut into as many pieces as it takes; an empty table gives no bin. The result
 holds no other column of the input. It depends on the rows and the seed only.
 """
@@ -36,6 +37,9 @@ CAPACITY = 16_384
 SHARD_ITEMS = 4_096
 ISLANDS, EPOCHS, POPULATION, ELITES, CHILDREN = 3, 2, 6, 2, 16
 SEED = 20_240_601
+#: Islands (some 200 KB each) that a task works on, one after the other, where there are more than 4,096 of them.
+ISLANDS_A_TASK = 512
+COPIES_AT_ONCE = 1_000
 
 
 def best_fit(size: np.ndarray, order: np.ndarray, fill: list[int], bin_of: np.ndarray, capacity: int) -> None:
@@ -132,53 +136,86 @@ def founders(size: np.ndarray, capacity: int, island: int, rng: np.random.Genera
     return out
 
 
-STATE = "shard int, island int, ids array<bigint>, starts array<bigint>, sizes array<int>, people array<binary>"
+STATE = "shard int, island int, ids array<bigint>, starts array<bigint>, sizes array<int>, people array<binary>, fit double"
+BINS = "bin_id bigint, used int, doc_ids array<bigint>, pieces array<struct<doc_id:bigint,start:bigint,length:int>>"
+
+
+def _list(column: pa.Array, row: int) -> np.ndarray:
+    """The numbers of one row's list, as they lie in the batch."""
+    return column[row].values.to_numpy(zero_copy_only=False) if column[row].is_valid else np.zeros(0, np.int64)
 
 
 def _epoch(capacity: int, seed: int, epoch: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                size = np.array(row["sizes"], np.int64)
-                rng = np.random.default_rng([seed, epoch, row["shard"], row["island"]])
-                people = [np.frombuffer(p, np.int32) for p in (row["people"] or []) + (row["guests"] or [])]
-                open_ = np.flatnonzero(size < capacity)
-                inner = size[open_]
+            for k in range(batch.num_rows):  # one island at a time, whatever the batch holds
+                shard, island = batch.column("shard")[k].as_py(), batch.column("island")[k].as_py()
+                size = _list(batch.column("sizes"), k).astype(np.int64)
+                rng = np.random.default_rng([seed, epoch, shard, island])
+                people = [np.frombuffer(p, np.int32) for c in ("people", "guests") for p in batch.column(c)[k].as_py() or []]
+                inner = size[size < capacity]
                 if len(inner):
-                    people = evolve(inner, people or founders(inner, capacity, row["island"], rng), capacity, rng)
-                row["people"] = [p.astype(np.int32).tobytes() for p in people]
-                del row["guests"]
-                yield pa.RecordBatch.from_pylist([row], schema=_STATE)
+                    people = evolve(inner, people or founders(inner, capacity, island, rng), capacity, rng)
+                own = [batch.column(c).slice(k, 1) for c in ("shard", "island", "ids", "starts", "sizes")]
+                fit = fitness(people[0], inner, capacity) if people else 0.0
+                yield pa.RecordBatch.from_arrays([*own, pa.array([[p.astype(np.int32).tobytes() for p in people]], pa.list_(pa.binary())), pa.array([fit])], _STATE)
 
     return run
 
 
-_STATE = pa.schema([("shard", pa.int32()), ("island", pa.int32()), ("ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("people", pa.list_(pa.binary()))])
-BINS = "bin_id bigint, used int, doc_ids array<bigint>, pieces array<struct<doc_id:bigint,start:bigint,length:int>>"
-_BINS = pa.schema([("bin_id", pa.int64()), ("used", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("pieces", pa.list_(pa.struct([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int32())])))])
+_STATE = ["shard", "island", "ids", "starts", "sizes", "people", "fit"]
 
 
 def _bins(capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                size, ids, starts = (np.array(row[c], np.int64) for c in ("sizes", "ids", "starts"))
-                open_, full = np.flatnonzero(size < capacity), np.flatnonzero(size >= capacity)
-                bin_of = np.zeros(len(size), np.int64)
-                best = np.frombuffer(row["best"], np.int32) if row["best"] else np.zeros(0, np.int32)
-                bin_of[open_] = best
-                bin_of[full] = int(best.max(initial=-1)) + 1 + np.arange(len(full))
-                order = np.lexsort((starts, ids, bin_of))
-                cuts = np.flatnonzero(np.diff(bin_of[order])) + 1
-                out = []
-                for k, part in enumerate(np.split(order, cuts)):
-                    pieces = [{"doc_id": int(ids[x]), "start": int(starts[x]), "length": int(size[x]) - 1} for x in part]
-                    out.append({"bin_id": (row["shard"] << 32) + k, "used": int(size[part].sum()), "doc_ids": sorted({p["doc_id"] for p in pieces}), "pieces": pieces})
-                yield pa.RecordBatch.from_pylist(out, schema=_BINS)
+            for k in range(batch.num_rows):
+                size, ids, starts = (_list(batch.column(c), k).astype(np.int64) for c in ("sizes", "ids", "starts"))
+                best = np.frombuffer(batch.column("best")[k].as_py() or b"", np.int32)
+                yield bins_of(batch.column("shard")[k].as_py(), size, ids, starts, best, capacity)
 
     return run
 
 
+def bins_of(shard: int, size: np.ndarray, ids: np.ndarray, starts: np.ndarray, best: np.ndarray, capacity: int) -> pa.RecordBatch:
+    """The sequences of a shard; `best` has the bins of the pieces that don't fill one."""
+    open_, full = np.flatnonzero(size < capacity), np.flatnonzero(size >= capacity)
+    bin_of = np.zeros(len(size), np.int64)
+    bin_of[open_] = best
+    bin_of[full] = int(best.max(initial=-1)) + 1 + np.arange(len(full))
+    order = np.lexsort((starts, ids, bin_of))
+    size, ids, starts, bin_of = size[order], ids[order], starts[order], bin_of[order]
+    first = np.flatnonzero(np.diff(bin_of, prepend=-1))
+    ends = np.append(first[1:], len(order)).astype(np.int64)[: len(first)]
+    pieces = pa.StructArray.from_arrays([pa.array(ids), pa.array(starts), pa.array((size - 1).astype(np.int32))], ["doc_id", "start", "length"])
+    once = np.flatnonzero(np.diff(ids, prepend=-1).astype(bool) | np.diff(bin_of, prepend=-1).astype(bool))
+    offsets = np.append(np.searchsorted(once, first), len(once))
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array((shard << 32) + np.arange(len(first))), pa.array(np.add.reduceat(size, first).astype(np.int32) if len(first) else np.zeros(0, np.int32)),
+            pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids[once])), pa.ListArray.from_arrays(pa.array(np.append(first, ends[-1:]), pa.int32()), pieces),
+        ],
+        ["bin_id", "used", "doc_ids", "pieces"],
+    )
+
+
+def tasks_for(islands: int) -> int:
+    """A task for each island while they are few, then for every ISLANDS_A_TASK."""
+    return max(1, min(islands, 4096), -(-islands // ISLANDS_A_TASK))
+
+
+def pieces_of(sizes: DataFrame, most: int) -> DataFrame:
+    """(id, start, size, copy) of (id, n); copy tells rows apart that repeat an id and a length."""
+    rows = sizes.groupBy("id", "n").agg(F.count(F.lit(1)).alias("c"))
+    zero = F.lit(0).cast("bigint")
+    one = rows.where("c = 1").select("id", "n", zero.alias("copy"))
+    # A row may stand for a third of the table: its copies are made by many tasks.
+    some = rows.where("c > 1").select("id", "n", "c", F.explode(F.sequence(zero, F.floor((F.col("c") - 1) / COPIES_AT_ONCE))).alias("at")).repartition("id", "at")
+    some = some.select("id", "n", F.explode(F.sequence(F.col("at") * COPIES_AT_ONCE, F.least((F.col("at") + 1) * COPIES_AT_ONCE, F.col("c")) - 1)).alias("copy"))
+    starts = F.sequence(zero, F.greatest(F.col("n") - 1, zero), F.lit(most).cast("bigint"))
+    return one.unionByName(some).select("id", "n", "copy", F.explode(starts).alias("start")).select("id", "start", (F.least(F.col("n") - F.col("start"), F.lit(most)) + 1).cast("int").alias("size"), "copy")
+
+
 def pack(docs: DataFrame, length: Column, id_col: str = "doc_id", capacity: int = CAPACITY, seed: int = SEED) -> DataFrame:
     """(bin_id, used, doc_ids, pieces): every sequence with its pieces (document, first token, tokens without the end mark)."""
     if capacity < 2:
@@ -188,36 +225,22 @@ def pack(docs: DataFrame, length: Column, id_col: str = "doc_id", capacity: int
     sizes = cut(docs.select(docs[id_col].cast("bigint").alias("id"), length.cast("bigint").alias("n")).where("id is not null and n is not null"), "lengths")
     count = sizes.agg(F.coalesce(F.sum(F.greatest(F.lit(1), F.ceil(F.col("n") / most))), F.lit(0))).first()[0]
     shards = max(1, -(-int(count) // SHARD_ITEMS))
-    starts = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("n") - 1, F.lit(0).cast("bigint")), F.lit(most).cast("bigint"))
-    pieces = sizes.select("id", "n", F.explode(starts).alias("start"))
-    pieces = pieces.select(
-        F.pmod(F.xxhash64("id", "start", F.lit(seed)), F.lit(shards)).cast("int").alias("shard"),
-        F.struct("id", "start", (F.least(F.col("n") - F.col("start"), F.lit(most)) + 1).cast("int").alias("size")).alias("piece"),
-    )
+    pieces = pieces_of(sizes, most).select(F.pmod(F.xxhash64("id", "start", "copy", F.lit(seed)), F.lit(shards)).cast("int").alias("shard"), F.struct("id", "start", "size").alias("piece"))
     shard = pieces.groupBy("shard").agg(F.sort_array(F.collect_list("piece")).alias("p"))
     islands = shard.select("shard", F.explode(F.array(*(F.lit(k) for k in range(ISLANDS)))).alias("island"), "p")
-    state = islands.select("shard", "island", F.col("p.id").alias("ids"), F.col("p.start").alias("starts"), F.col("p.size").alias("sizes"), F.lit(None).cast("array<binary>").alias("people"))
-    state = state.withColumn("guests", F.lit(None).cast("array<binary>"))
+    none = F.lit(None).cast("array<binary>")
+    state = islands.select("shard", "island", F.col("p.id").alias("ids"), F.col("p.start").alias("starts"), F.col("p.size").alias("sizes"), none.alias("people"), none.alias("guests"))
     for epoch in range(EPOCHS):
         # An island is a row; rows are spread evenly over tasks.
-        state = state.repartition(min(4096, shards * ISLANDS), "shard", "island")
+        state = state.repartition(tasks_for(shards * ISLANDS), "shard", "island")
         state = cut(state.mapInArrow(_epoch(capacity, seed, epoch), STATE), "islands")
         if epoch + 1 < EPOCHS:
             guests = state.select("shard", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), F.slice("people", 1, ELITES).alias("guests"))
-            state = state.join(guests, ["shard", "island"])
-    sizes_of = F.udf(_score(capacity), "double")
-    best = state.groupBy("shard").agg(F.max_by(F.struct("ids", "starts", "sizes", F.get("people", F.lit(0)).alias("best")), F.struct(sizes_of("sizes", "people"), -F.col("island"))).alias("b"))
+            state = state.drop("fit").join(guests, ["shard", "island"])
+    best = state.groupBy("shard").agg(F.max_by(F.struct("ids", "starts", "sizes", F.get("people", F.lit(0)).alias("best")), F.struct("fit", -F.col("island"))).alias("b"))
     return best.select("shard", "b.ids", "b.starts", "b.sizes", "b.best").mapInArrow(_bins(capacity), BINS)
 
 
-def _score(capacity: int):
-    def score(sizes: list[int], people: list[bytes]) -> float:
-        size = np.array(sizes, np.int64)
-        return fitness(np.frombuffer(people[0], np.int32), size[size < capacity], capacity) if people else 0.0
-
-    return score
-
-
 def byte_tokens(text: Column) -> Column:
     """Number of byte-level tokens of a text."""
     return F.octet_length(text)

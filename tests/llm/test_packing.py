@@ -88,6 +88,21 @@ def test_shards_and_long_documents(spark, monkeypatch, items, slack):
     assert sorted(map(str, bins_of(frame.repartition(5), 1024))) == sorted(map(str, rows))
 
 
+def test_a_repeated_row_is_spread_over_shards(spark, monkeypatch):
+    monkeypatch.setattr(P, "SHARD_ITEMS", 50)
+    monkeypatch.setattr(P, "COPIES_AT_ONCE", 7)
+    frame = spark.createDataFrame([(1, "x" * 20)] * 300 + [(k, "y" * k) for k in range(2, 200)], "doc_id bigint, text string")
+    rows = bins_of(frame, 64)
+    assert sum(p.doc_id == 1 for r in rows for p in r.pieces) == 300
+    shards = {r.bin_id >> 32 for r in rows if 1 in r.doc_ids}
+    held = {s: sum(p.doc_id == 1 for r in rows for p in r.pieces if r.bin_id >> 32 == s) for s in shards}
+    assert len(shards) >= 8 and max(held.values()) < 80
+
+
+def test_tasks_grow_with_islands():
+    assert [P.tasks_for(n) for n in (0, 5, 10_000)] == [1, 5, 4096] and P.tasks_for(10**8) > 190_000
+
+
 def test_odd_tables(spark):
     rows = bins_of(odd(spark), 4096)
     lengths = {2: 0, 3: 4, 6: 200_000}
