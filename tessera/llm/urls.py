@@ -8,8 +8,9 @@ above it and of the beginnings of its path; an equi-join on the key with the int
 condition gives the entries as of the fetch time, and of these the one with the longest
 key decides (of host and path keys as long, the last in order).
 
-Only ids, URLs and times are joined. The list is broadcast by Spark's own size check, and
-shuffled by key beyond it.
+Only ids, URLs and times are joined. A list of up to BROADCAST_ENTRIES intervals is broadcast;
+beyond that keys of many captures are, and the other keys are shuffled. Captures are shuffled
+once, after the join, to one row for each.
 
 Defined results: of entries of one key and date block wins over allow over remove; entries
 with a null key, date or action, or another action are left out; a null URL, one without a
@@ -26,6 +27,8 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .spill import cut
+
 #: The list of the registered query; any DataFrame (key, listed_on, action) may stand for it.
 ENTRIES = [
     ("spam-farm.example.com", "2024-01-10", "block"),
@@ -42,6 +45,10 @@ ENTRIES = [
     ("example.org", "2024-11-01", "block"),
     ("tionble.example.org", "2024-11-01", "allow"),
 ]
+#: Intervals (some hundred bytes each in a hash relation) up to which the list is broadcast.
+BROADCAST_ENTRIES = 500_000
+#: A key of more than this share of all asked keys is hot; there are at most 1 / HOT_SHARE.
+HOT_SHARE = 1e-4
 ACTIONS = ("remove", "allow", "block")
 
 
@@ -74,18 +81,34 @@ def keys(url: Column) -> Column:
 
 def verdicts(captures: DataFrame, entries: DataFrame, id_col: str, url_col: str, time_col: str) -> DataFrame:
     """(id, url, fetched_at, entry, action, listed_from, blocked): a row for each distinct capture."""
-    c = captures.select(captures[id_col].alias(id_col), captures[url_col].alias("url"), captures[time_col].cast("timestamp").alias("fetched_at")).distinct()
+    c = captures.select(captures[id_col].alias(id_col), captures[url_col].alias("url"), captures[time_col].cast("timestamp").alias("fetched_at"))
     asked = c.withColumn("key", F.explode_outer(keys(F.col("url"))))
-    held = asked.join(intervals(entries), "key", "left").where("action is null or fetched_at is null or (valid_from <= fetched_at and (valid_to is null or fetched_at < valid_to))")
-    # A key without an entry in force leaves no row above, so the decision is joined to all captures.
-    decisive = held.where("action in ('block', 'allow') and fetched_at is not null")
-    best = F.max_by(F.struct(F.col("key").alias("entry"), "action", F.col("valid_from").alias("listed_from")), F.struct(F.length("key"), "key"))
-    found = decisive.groupBy(F.col(id_col).alias("__id"), F.col("url").alias("__url"), F.col("fetched_at").alias("__at")).agg(best.alias("__b"))
-    on = [F.col(id_col).eqNullSafe(F.col("__id")), F.col("url") == F.col("__url"), F.col("fetched_at") == F.col("__at")]
-    out = c.join(found, on, "left")
+    held = _as_of(asked, intervals(entries))
+    # The rows of a capture lie together, so they are one before they are shuffled.
+    listed = F.struct(F.col("key").alias("entry"), "action", F.col("valid_from").alias("listed_from"))
+    best = F.max_by(F.when(F.col("action").isin("block", "allow"), listed), F.when(F.col("action").isin("block", "allow"), F.struct(F.length("key"), "key")))
+    out = held.groupBy(id_col, "url", "fetched_at").agg(best.alias("__b"))
     return out.select(id_col, "url", "fetched_at", "__b.entry", "__b.action", "__b.listed_from", F.coalesce(F.col("__b.action") == "block", F.lit(False)).alias("blocked"))
 
 
+def _as_of(asked: DataFrame, entries: DataFrame) -> DataFrame:
+    """Captures by key, with the interval of the key that holds their time if there is one."""
+    entries = cut(entries, "intervals")
+    on = (asked["key"] == entries["key"]) & (entries["valid_from"] <= asked["fetched_at"]) & (entries["valid_to"].isNull() | (asked["fetched_at"] < entries["valid_to"]))
+    rest = entries["action"], entries["valid_from"]
+    if entries.count() <= BROADCAST_ENTRIES:
+        return asked.join(F.broadcast(entries), on, "left").select(*(asked[x] for x in asked.columns), *rest)
+    # A list beyond that: keys that many captures have ("com") are few. They are joined by broadcast, and the rest by a shuffle.
+    sizes = cut(asked.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("n")), "keys")
+    least = max(1_000, int((sizes.agg(F.sum("n")).first()[0] or 0) * HOT_SHARE))
+    hot = F.broadcast(sizes.where(F.col("n") >= least).select("key"))
+    of_hot = F.broadcast(entries.join(hot, "key", "left_semi"))
+    cold = asked.join(hot, asked["key"] == hot["key"], "left_anti").join(entries, on, "left").select(*(asked[x] for x in asked.columns), *rest)
+    again = asked.alias("a").join(hot, F.col("a.key") == hot["key"], "left_semi")
+    on = (again["key"] == of_hot["key"]) & (of_hot["valid_from"] <= again["fetched_at"]) & (of_hot["valid_to"].isNull() | (again["fetched_at"] < of_hot["valid_to"]))
+    return again.join(of_hot, on, "left").select(*(again[x] for x in asked.columns), of_hot["action"], of_hot["valid_from"]).unionByName(cold)
+
+
 def allowed_pages(pages: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", time_col: str = "fetched_at") -> DataFrame:
     """`pages` without those that were blocked when they were fetched; columns as they are."""
     blocked = verdicts(pages, entries, id_col, url_col, time_col).where("blocked").select(F.col(id_col).alias("__id"), F.col("url").alias("__url"), F.col("fetched_at").alias("__at"))

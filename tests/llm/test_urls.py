@@ -73,6 +73,17 @@ def test_as_of_against_brute_force(spark):
         assert not best or found[k].listed_from <= t
 
 
+def test_a_list_beyond_the_broadcast_bound(spark, monkeypatch):
+    _, frame = captures(spark)
+    few = sorted(map(str, U.verdicts(frame, entries(spark), "page_id", "url", "fetched_at").collect()))
+    monkeypatch.setattr(U, "BROADCAST_ENTRIES", 0)
+    for share in (1e-4, 0.0):
+        monkeypatch.setattr(U, "HOT_SHARE", share)
+        assert sorted(map(str, U.verdicts(frame, entries(spark), "page_id", "url", "fetched_at").collect())) == few
+    many = frame.crossJoin(spark.range(200).select((F.col("id") * 1000).alias("k"))).withColumn("page_id", F.col("page_id") + F.col("k")).drop("k")
+    assert U.verdicts(many, entries(spark), "page_id", "url", "fetched_at").where("blocked").count() == 200 * sum("blocked=True" in r for r in few)
+
+
 def test_intervals_follow_each_other(spark):
     rows = sorted(U.intervals(entries(spark)).where("key = 'bad.example.com'").collect(), key=lambda r: r.valid_from)
     assert [r.action for r in rows] == ["block", "remove", "block"]
