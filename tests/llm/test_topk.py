@@ -30,6 +30,7 @@ def same(a, b):
 def test_against_brute_force(spark, monkeypatch, n, d, kind):
     monkeypatch.setattr(T, "ITEMS_AT_ONCE", 37)
     monkeypatch.setattr(T, "QUERIES_AT_ONCE", 23)
+    monkeypatch.setattr(T, "PART_ITEMS", 10_000 if kind == "unit" else 90)
     rng = np.random.default_rng(n)
     x = rng.normal(size=(n, d))
     if kind == "unit":
@@ -45,6 +46,15 @@ def test_against_brute_force(spark, monkeypatch, n, d, kind):
     same(found(frame), brute(list(range(n)), x, T.K))
 
 
+def test_a_query_set_against_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(T, "PART_ITEMS", 100)
+    monkeypatch.setattr(T, "QUERIES_LEAST", 2)
+    x = np.random.default_rng(6).normal(size=(400, 12)).astype(np.float32)
+    frame = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(x)], SCHEMA)
+    rows = T.top_k(frame, 5, asked=F.col("vec_id") % 50 == 0).collect()
+    same(sorted((r.query_id, r.rank, r.neighbour_id, r.score) for r in rows), [r for r in brute(list(range(400)), x, 5) if r[0] % 50 == 0])
+
+
 def test_bounds_prune_without_loss():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(2000, 32)) * np.concatenate([np.ones(4) * 5, np.ones(28) * 0.1])
@@ -55,11 +65,11 @@ def test_bounds_prune_without_loss():
     def blocks():
         for at in range(0, 2000, 100):
             read.append(at)
-            yield ids[at : at + 100], x[at : at + 100]
+            yield T.Block.of(ids[at : at + 100], x[at : at + 100])
 
     few = np.flatnonzero(np.linalg.norm(x, axis=1) > np.quantile(np.linalg.norm(x, axis=1), 0.99))
     best = T.Best(len(few), 3)
-    T.offer(best, x[few], ids[few], blocks())
+    T.offer(best, T.Block.of(ids[few], x[few]), blocks())
     assert len(read) <= 20
     s = x[few] @ x.T
     for a in range(len(few)):
@@ -74,10 +84,13 @@ def test_short_lists_stop_early():
     def blocks():
         for at in range(0, len(x), 10):
             read.append(at)
-            yield np.arange(at, at + 10), x[at : at + 10]
+            yield T.Block.of(np.arange(at, at + 10), x[at : at + 10])
 
-    T.offer(T.Best(10, 5), x[:10], np.arange(10), blocks())
+    T.offer(T.Best(10, 5), T.Block.of(np.arange(10), x[:10]), blocks())
     assert read == [0, 10]
+    read.clear()
+    T.offer(T.Best(10, 5, np.full(10, 1000.0)), T.Block.of(np.arange(10), x[:10]), blocks())
+    assert read == [0]
 
 
 def test_odd_tables(spark):
