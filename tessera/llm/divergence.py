@@ -3,15 +3,17 @@
 Two histograms are taken of every text: its characters by class (small and capital ASCII
 letters, digits, white space, other ASCII, the rest) and its words by the commonest words
 of its language, with one bin for all other words. The language's references are the same
-histograms summed over all texts of that language. The Jensen-Shannon distance (base 2, 0 to
+histograms summed over texts of that language: a stored table of an earlier, trusted corpus
+(see `references`), or else all of the judged ones. The Jensen-Shannon distance (base 2, 0 to
 1) of each is a measure; a text goes if one is above its
 bound, which falls with the square root of the text's length, and each has a guard: a text
 of fewer than LEAST_CHARS characters, or of fewer than LEAST_WORDS words, isn't judged by it.
 
-Texts are read once, for their counts; these are written, and summed and compared by Spark.
+Texts are read once, for their counts; these are written, summed by Spark and compared in
+Arrow batches. References are broadcast up to BROADCAST_LANGS languages, which is checked.
 
 Defined results: a null or empty text has null distances and is kept; a null language is a
-language of its own; a language without a word list is judged by characters alone; texts of
+language of its own; a language without a word list is judged by characters alone, one without a reference not at all; texts of
 any length are counted whole; repeated rows count as often as they occur; rows with a null
 id are judged; an empty table gives an empty table. Other columns are never read.
 A word is a run of ASCII letters, digits and non-ASCII characters of the lower-cased text.
@@ -23,10 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
-from pyspark.sql.types import ArrayType, LongType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StructField, StructType
 
 from .spill import cut
 from .textkit import buffers, passes, word_hashes
@@ -40,6 +42,8 @@ WORDS = {
 CLASSES = 6
 BINS = 21
 LEAST_CHARS, LEAST_WORDS = 200, 30
+#: Languages (a few hundred bytes each) up to which all references are broadcast.
+BROADCAST_LANGS = 50_000
 #: A bound is the first number plus the second over the root of the count, as the distance of a sample from its source falls.
 CHAR_BOUND, WORD_BOUND = (0.08, 3.2), (0.06, 2.8)
 
@@ -94,38 +98,63 @@ def _histograms(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Arr
         yield pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * (CLASSES + BINS), pa.int32()), pa.array(flat.ravel()))
 
 
-def distance(p: Column, q: Column) -> Column:
-    """Jensen-Shannon distance of two histograms of counts; null if one of them is empty."""
-    total = lambda x: F.aggregate(x, F.lit(0).cast("bigint"), lambda a, e: a + e).cast("double")
-    ps, qs = total(p), total(q)
+def distances(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Jensen-Shannon distances of rows of counts, to six decimals; NaN where a row is empty."""
+    ps, qs = p.sum(axis=1, keepdims=True).astype(float), q.sum(axis=1, keepdims=True).astype(float)
+    some = (ps > 0) & (qs > 0)
+    x, y = p / np.where(some, ps, 1), q / np.where(some, qs, 1)
+    m = (x + y) / 2
+    part = lambda z: np.where(z > 0, z * np.log2(np.where(z > 0, z, 1) / np.where(z > 0, m, 1)), 0.0)
+    # Summed bin by bin, as the SQL does.
+    total = np.add.accumulate((part(x) + part(y)) / 2, axis=1)[:, -1]
+    return np.where(some[:, 0], np.floor(np.sqrt(np.maximum(total, 0)) * 1e6 + 0.5) / 1e6, np.nan)
 
-    def term(x: Column, y: Column) -> Column:
-        m = (x + y) / 2
-        part = lambda z: F.when(z > 0, z * F.log2(z / m)).otherwise(F.lit(0.0))
-        return (part(x) + part(y)) / 2
 
-    terms = F.zip_with(p, q, lambda x, y: term(x / ps, y / qs))
-    return F.when((ps > 0) & (qs > 0), F.round(F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda a, e: a + e))), 6))
+_JUDGED = StructType([StructField("char_distance", DoubleType()), StructField("word_distance", DoubleType()), StructField("keep", BooleanType())])
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(id, lang, char_distance, word_distance, keep) of every row."""
+@arrow_udf(_JUDGED)
+def _judged(own: pa.Array, reference: pa.Array) -> pa.Array:
+    rows = lambda a: a.flatten().to_numpy(zero_copy_only=False).reshape(-1, CLASSES + BINS)
+    known = reference.is_valid().to_numpy(zero_copy_only=False)
+    h, r = rows(own), np.zeros((len(own), CLASSES + BINS), np.int64)
+    r[known] = rows(reference)
+    out, keep = [], np.ones(len(own), bool)
+    for part, least, bound in ((slice(0, CLASSES), LEAST_CHARS, CHAR_BOUND), (slice(CLASSES, None), LEAST_WORDS, WORD_BOUND)):
+        d, n = distances(h[:, part], r[:, part]), h[:, part].sum(axis=1)
+        keep &= ~((n >= least) & (np.nan_to_num(d, nan=-1.0) > bound[0] + bound[1] / np.sqrt(np.maximum(n, 1))))
+        out.append(pa.array(d, from_pandas=True))
+    return pa.StructArray.from_arrays([*out, pa.array(keep)], ["char_distance", "word_distance", "keep"])
+
+
+def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(id, lang, h) of every row, written once."""
     rows = docs.select(docs[id_col].alias(id_col), docs[lang_col].cast("string").alias("lang"), _histograms(docs[text_col].cast("string"), docs[lang_col].cast("string")).alias("h"))
-    counts = cut(rows, "histograms")
-    bins = counts.select("lang", F.posexplode("h").alias("bin", "n")).groupBy("lang", "bin").agg(F.sum("n").alias("n"))
-    reference = bins.groupBy(F.col("lang").alias("r_lang")).agg(F.transform(F.sort_array(F.collect_list(F.struct("bin", "n"))), lambda x: x["n"]).alias("r"))
-    both = counts.join(reference, F.col("lang").eqNullSafe(F.col("r_lang")), "left")
-    part = lambda c, k, n: F.slice(c, k + 1, n)
-    size = lambda k, n: F.aggregate(part("h", k, n), F.lit(0).cast("bigint"), lambda a, e: a + e)
-    out = both.select(
-        id_col, "lang",
-        distance(part("h", 0, CLASSES), part("r", 0, CLASSES)).alias("char_distance"),
-        distance(part("h", CLASSES, BINS), part("r", CLASSES, BINS)).alias("word_distance"),
-        size(0, CLASSES).alias("__chars"), size(CLASSES, BINS).alias("__words"),
-    )
-    above = lambda c, n, least, bound: (F.col(n) >= least) & (F.col(c) > bound[0] + bound[1] / F.sqrt(n))
-    bad = above("char_distance", "__chars", LEAST_CHARS, CHAR_BOUND) | above("word_distance", "__words", LEAST_WORDS, WORD_BOUND)
-    return out.withColumn("keep", ~F.coalesce(bad, F.lit(False))).drop("__chars", "__words")
+    return cut(rows, "histograms")
+
+
+def references(counts: DataFrame) -> DataFrame:
+    """(r_lang, r, w): the histograms of each language summed, and its number of rows; a table to be stored and used for other corpora."""
+    sums = [F.sum(F.get("h", F.lit(k))).alias(f"h{k}") for k in range(CLASSES + BINS)]
+    total = counts.groupBy(F.col("lang").alias("r_lang")).agg(*sums, F.count(F.lit(1)).alias("w"))
+    return total.select("r_lang", F.array(*(f"h{k}" for k in range(CLASSES + BINS))).alias("r"), "w")
+
+
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", reference: DataFrame | None = None) -> DataFrame:
+    """(id, lang, char_distance, word_distance, keep) of every row, against `reference` or else the docs' own languages."""
+    counts = counted(docs, id_col, text_col, lang_col)
+    reference = cut(references(counts) if reference is None else reference.select("r_lang", "r", "w"), "references")
+    on = F.col("lang").eqNullSafe(F.col("r_lang"))
+    if reference.count() <= BROADCAST_LANGS:
+        both = counts.join(F.broadcast(reference), on, "left")
+    else:
+        # More languages than fit: those of most rows are broadcast, which are few, so that none meets in one task; the rest are shuffled.
+        hot = F.broadcast(reference.orderBy(F.desc("w"), "r_lang").limit(BROADCAST_LANGS))
+        rest = reference.join(hot.select("r_lang"), reference["r_lang"].eqNullSafe(hot["r_lang"]), "left_anti")
+        cold = counts.join(hot, on, "left_anti")
+        both = counts.join(hot, on).unionByName(cold.join(rest, on, "left"))
+    out = both.select(id_col, "lang", _judged(F.col("h"), F.col("r")).alias("__j"))
+    return out.select(id_col, "lang", "__j.char_distance", "__j.word_distance", "__j.keep")
 
 
 def op10_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,6 +61,22 @@ def test_against_brute_force(spark):
     assert not rows[66].keep and not any(rows[k].keep for k in range(60, 66) if len(texts[k]) > 400) and all(rows[k].keep for k in (67, 68))
 
 
+def test_against_a_stored_reference(spark, monkeypatch):
+    """Verdicts on a reference fitted on another corpus don't depend on the judged rows; broadcast or not."""
+    rng = random.Random(2)
+    words = D.WORDS["en"] + ["river", "stone", "bridge"]
+    plain = [" ".join(rng.choice(words) for _ in range(200)) for _ in range(30)]
+    junk = [" ".join(rng.choice("@#$%") * 5 for _ in range(200)) for _ in range(60)]
+    trusted = D.references(D.counted(docs(spark, plain).unionByName(docs(spark, plain, "de", 500))))
+    corpus = docs(spark, junk + plain).unionByName(docs(spark, plain[:3], None, 900)).unionByName(docs(spark, plain[:3], "xx", 950))
+    first = sorted(map(str, D.judge(corpus, reference=trusted).collect()))
+    rows = {r.doc_id: r for r in D.judge(corpus, reference=trusted).collect()}
+    assert not any(rows[k].keep for k in range(60)) and all(rows[k].keep for k in range(60, 90))
+    assert all(rows[k].char_distance is None and rows[k].keep for k in (900, 950))
+    monkeypatch.setattr(D, "BROADCAST_LANGS", 1)
+    assert sorted(map(str, D.judge(corpus, reference=trusted).collect())) == first
+
+
 def test_odd_tables(spark):
     rows = D.judge(odd(spark)).collect()
     by = {r.doc_id: r for r in rows if r.doc_id is not None}
