@@ -3,10 +3,13 @@
 import random
 
 import pytest
+import tiktoken
 
 import corpus_pipeline as C
+from tessera.llm import bpe
 
-from .helpers import docs, empty, labels
+from .helpers import docs, empty, labels, odd
+from .test_packing import check
 from .test_quality import bad, good
 
 SENSITIVE = "write to some.body@mail1.example.com or call +1 (499) 555-6503"
@@ -58,7 +61,8 @@ def test_stages(spark, corpus):
         else:
             rows = out.collect()
             assert {d for r in rows for d in r.doc_ids} == set(before)
-            assert sum(p.length for r in rows for p in r.pieces) == sum(len(t.encode()) for t in before.values())
+            encoder = tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks={t: k for k, t in enumerate(bpe.vocabulary().tokens)}, special_tokens={})
+            check(rows, {d: len(encoder.encode_ordinary(t)) for d, t in before.items()}, C.SEQUENCE_TOKENS)
     run = C.run(spark, folder).collect()
     assert sorted(map(str, run)) == sorted(map(str, rows))
 
@@ -69,6 +73,23 @@ def test_empty_corpus(spark, tmp_path):
     assert C.run(spark, str(tmp_path)).count() == 0
 
 
+def test_odd_tables(spark, corpus, tmp_path):
+    """Nulls, empty and very long texts, repeated rows and clashing columns, through every stage."""
+    folder, texts, _ = corpus
+    frame = odd(spark, "some plain words of a text that is long enough to be judged by all of the stages")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{folder}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    held = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in C.STAGES[:-1]:
+        out = stage(spark, held, str(tmp_path))
+        assert out.columns == held.columns
+        rows = sorted(str(r.doc_id) for r in out.collect())
+        assert rows == sorted(["1", "2", "3", "4", "5", "6", "7", "None", "None"] + ["5"] * (name in ("quality_classifier", "toxicity")))
+        held = spark.createDataFrame(out.collect(), out.schema)
+    packed = C.STAGES[-1][1](spark, held, str(tmp_path)).collect()
+    assert {p.doc_id for r in packed for p in r.pieces} == {2, 3, 4, 5, 6, 7}
+
+
 def test_registered():
     import __spark_entry__ as entry
 
