@@ -17,7 +17,7 @@ from tessera.operators import facets, relations
 from tessera.operators.vectors import IndexParams, InvertedFile, VectorBackend
 from tessera.plans.search import Search, SearchRequest, Sources, collected
 from tessera.sources.catalog import Catalog, Collection, CollectionError, NotFound, VectorSpace
-from tessera.sources.store import CHUNK, INPUT, Store, rows_of
+from tessera.sources.store import INPUT, VECTORS, Store, rows_of
 
 
 class Engine:
@@ -25,7 +25,7 @@ class Engine:
         self.spark, self.embedder = spark, embedder
         self.catalog = Catalog(spark, root)
         self.store = Store(spark, self.catalog)
-        self._backends: dict[tuple[str, str, int, int], VectorBackend] = {}
+        self._backends: dict[tuple[str, int], VectorBackend] = {}
 
     # --- collections and spaces -------------------------------------------------------------
 
@@ -66,9 +66,17 @@ class Engine:
         after, ids = self._append(name, frame)
         return {"indexed": after.chunk_count - before, "id_map": {r.client_id: r.id for r in ids.collect()}, "took_ms": int(1000 * (time.monotonic() - began))}
 
-    def ingest_frame(self, name: str, rows: DataFrame) -> Collection:
-        """A DataFrame of any size with file_id, chunk_index, text and, as wanted, the other fields of a chunk."""
-        return self._append(name, rows)[0]
+    def ingest_frame(self, name: str, rows: DataFrame, stream: tuple[str, int] | None = None) -> Collection:
+        """A DataFrame of any size with file_id, chunk_index, text and, as wanted, the other fields of a chunk.
+
+        stream: a stream's id and the number of its micro-batch, which is ingested once.
+        """
+        return self._append(name, rows, stream)[0]
+
+    def compact(self, name: str) -> Collection:
+        """All batches as one; an inverted file stays as it is."""
+        with self.store.lock(name):
+            return self.store.compact(self.catalog.need(name))
 
     def ingest_json(self, name: str, path: str) -> Collection:
         """JSON lines of request objects; metadata keeps 3 and 3.0 apart."""
@@ -78,11 +86,14 @@ class Engine:
         parsed = lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
         return self._append(name, parsed.withColumn("metadata", M.typed(F.col("metadata"))))[0]
 
-    def _append(self, name: str, rows: DataFrame) -> tuple[Collection, DataFrame]:
-        c = self.catalog.need(name)
-        default = c.vector_spaces.get(c.default_vector_space or "")
-        fits = self.embedder is not None and default is not None and self.embedder.dims == default.dims
-        return self.store.append(c, rows, (lambda text: embed_column(text, self.embedder)) if fits else None)
+    def _append(self, name: str, rows: DataFrame, stream: tuple[str, int] | None = None) -> tuple[Collection, DataFrame]:
+        with self.store.lock(name):
+            c = self.catalog.need(name)
+            if stream is not None and stream[1] <= c.streams.get(stream[0], -1):
+                return c, self.spark.createDataFrame([], "client_id string, id bigint")
+            default = c.vector_spaces.get(c.default_vector_space or "")
+            fits = self.embedder is not None and default is not None and self.embedder.dims == default.dims
+            return self.store.append(c, rows, (lambda text: embed_column(text, self.embedder)) if fits else None, stream)
 
     # --- queries ------------------------------------------------------------------------------
 
@@ -98,7 +109,8 @@ class Engine:
         def vectors(space: str) -> VectorBackend | DataFrame | None:
             if space not in c.vector_spaces:
                 return None
-            return self._backends.get((c.name, space, c.vector_spaces[space].version, c.batches)) or self.store.vectors(c, space)
+            held = c.vector_spaces[space].index
+            return self._backend(held["folder"], c.batches) if held else self.store.vectors(c, space)
 
         return Sources(self.store.chunks(c), self.store.full_text(c), vectors, c.default_vector_space or "default", self.embedder)
 
@@ -125,15 +137,36 @@ class Engine:
         return collected(relations.segments_at(self.chunks(name), asset, time_ms, time_start_ms, time_end_ms))
 
     def build_inverted_file(self, name: str, space: str | None = None, **params: Any) -> InvertedFile:
-        """An inverted file for a space, used by searches until the next ingest or rebuild."""
-        c = self.catalog.need(name)
-        space = space or c.default_vector_space or "default"
-        v = c.vector_spaces[space]
-        folder = f"{self.catalog.folder(name)}/ivf/{space}/v{v.version}-{c.batches}"
-        self.catalog.files.delete(folder)
-        built = InvertedFile.build(self.store.vectors(c, space), folder, IndexParams(dims=v.dims, **params))
-        self._backends[c.name, space, v.version, c.batches] = built
-        return built
+        """A stored inverted file for a space; every engine uses it, ingests extend it, a rebuild of the space drops it."""
+        with self.store.lock(name):
+            c = self.catalog.need(name)
+            space = space or c.default_vector_space or "default"
+            v = c.vector_spaces[space]
+            folder = f"{self.catalog.folder(name)}/ivf/{space}/v{v.version}-{c.batches}"
+            self.catalog.files.delete(folder)
+            built = InvertedFile.build(self.store.vectors(c, space), folder, IndexParams(dims=v.dims, **params))
+            built.save(self.catalog.files)
+            old, v.index = v.index, {"folder": folder, **asdict(built.params)}
+            self.catalog.save(c)
+            if old and old["folder"] != folder:
+                self.catalog.files.delete(old["folder"])
+            return built
+
+    def drop_inverted_file(self, name: str, space: str | None = None) -> None:
+        with self.store.lock(name):
+            c = self.catalog.need(name)
+            v = c.vector_spaces[space or c.default_vector_space or "default"]
+            old, v.index = v.index, None
+            self.catalog.save(c)
+            if old:
+                self.catalog.files.delete(old["folder"])
+
+    def _backend(self, folder: str, batches: int) -> VectorBackend:
+        """The inverted file as the last ingest left it."""
+        if (folder, batches) not in self._backends:
+            self._backends = {k: v for k, v in self._backends.items() if k[0] != folder}
+            self._backends[folder, batches] = InvertedFile.open(self.spark, self.catalog.files, folder, batches)
+        return self._backends[folder, batches]
 
     # --- rebuild --------------------------------------------------------------------------------
 
@@ -154,20 +187,21 @@ class Engine:
         c.rebuilds[space] = {"status": "running", "embedded": 0, "total": c.chunk_count}
         self.catalog.save(c)
         try:
-            version, embedded = v.version + 1, 0
+            version = v.version + 1
             base = f"{self.catalog.folder(name)}/vectors/{space}/v{version}"
             self.catalog.files.delete(base)
-            for k in range(c.batches):
-                rows = self.spark.read.schema(CHUNK).parquet(f"{self.catalog.folder(name)}/chunks/batch={k}")
-                new = rows.select(F.col("id").alias("chunk_id"), embed_column(F.col("text"), embedder, batch_size).alias("embedding")).where("embedding is not null")
-                new.write.parquet(f"{base}/batch={k}")
-                embedded += self.spark.read.parquet(f"{base}/batch={k}").count()
-                c.rebuilds[space]["embedded"] = embedded
-                self.catalog.save(c)
-            v.version, v.status = version, "active"
+            # All batches in one job, as one batch.
+            new = self.store.chunks(c).select(F.col("id").alias("chunk_id"), embed_column(F.col("text"), embedder, batch_size).alias("embedding")).where("embedding is not null")
+            new.write.parquet(f"{base}/batch={c.batches}")
+            embedded = self.spark.read.schema(VECTORS).parquet(f"{base}/batch={c.batches}").count()
+            old, v.index = v.index, None
+            v.version, v.status, v.live = version, "active", [c.batches]
+            c.batches += 1
             c.rebuilds[space] = {"status": "done", "embedded": embedded, "total": c.chunk_count}
             self.catalog.save(c)
             self.catalog.files.delete(f"{self.catalog.folder(name)}/vectors/{space}/v{version - 1}")
+            if old:
+                self.catalog.files.delete(old["folder"])
         except BaseException:
             c = self.catalog.need(name)
             c.rebuilds[space] = {**c.rebuilds.get(space, {}), "status": "failed"}

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import metavalue as M
 
+#: A key of more than this share of the rows is hot; there are at most 1 / HOT_SHARE of them.
+HOT_SHARE = 1e-4
+
 
 def parent_metadata(hits: DataFrame, chunks: DataFrame, few: bool = False) -> DataFrame:
     """`hits` with parent_metadata: of segments whose parent exists its metadata (maybe empty), else null.
@@ -29,9 +32,30 @@ def resolve_parents(batch: DataFrame) -> DataFrame:
     The last chunk of a client id stands for it; forward references are fine; a reference to
     an unknown one leaves the given parent_id.
     """
+    found = parent_ids(batch).withColumnRenamed("id", "__id")
+    refers = F.col("parent_ref").isNotNull()
+    out = batch.where(refers).join(found, F.col("id") == F.col("__id"), "left")
+    out = out.withColumn("parent_id", F.coalesce("__pid", "parent_id")).drop("__id", "__pid")
+    return batch.where(~refers).unionByName(out)
+
+
+def parent_ids(batch: DataFrame) -> DataFrame:
+    """(id, __pid) of the chunks whose reference is known: ids and names only, whatever the size of the texts."""
     own = batch.where("client_id is not null").groupBy(F.col("client_id").alias("__ref")).agg(F.max("id").alias("__pid"))
-    out = batch.join(own, batch["parent_ref"] == own["__ref"], "left")
-    return out.withColumn("parent_id", F.coalesce("__pid", "parent_id")).drop("__ref", "__pid")
+    asked = batch.where("parent_ref is not null").select("id", F.col("parent_ref").alias("__ref"))
+    return join_hot(asked, own, "__ref").select("id", "__pid")
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Inner join with a table that has each key once; keys of more than HOT_SHARE of the rows, which are few, are joined by broadcast.
+
+    So no task meets all rows of a key. Rows are read three times: only for rows that are cheap to read.
+    """
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    total = rows.count()
+    hot = F.broadcast(sizes.where(F.col("__n") >= max(10_000, int(total * HOT_SHARE))).select(key))
+    few = F.broadcast(table.join(hot, key, "left_semi"))
+    return rows.join(few, key).unionByName(rows.join(hot, key, "left_anti").join(table, key))
 
 
 def in_window(start: Column, end: Column, time_ms: float | None = None, time_start_ms: float | None = None, time_end_ms: float | None = None) -> Column:

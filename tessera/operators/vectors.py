@@ -8,13 +8,15 @@ those: its result is the exact scan's.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
+from functools import reduce
 from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import DoubleType, IntegerType
@@ -96,6 +98,8 @@ def cosine_to(embedding: Column, centre: Column, centres: np.ndarray) -> Column:
     return product(embedding, centre)
 
 
+#: Tasks that write one list.
+SPREAD = 16
 #: What rounding of stored floats may change in a cosine.
 SLACK = 1e-5
 
@@ -103,9 +107,10 @@ SLACK = 1e-5
 class InvertedFile:
     name = "ivf"
 
-    def __init__(self, vectors: DataFrame, centres: np.ndarray, n_probe: int, least: np.ndarray):
-        """least: of each list the least cosine of a vector with its centroid; 2 for an empty list."""
-        self.vectors, self.centres, self.n_probe, self.least = vectors, centres, n_probe, least
+    def __init__(self, vectors: DataFrame, centres: np.ndarray, n_probe: int, least: np.ndarray, folder: str = "", params: IndexParams | None = None, parts: dict[str, np.ndarray] | None = None):
+        """least: of each list the least cosine of a vector with its centroid, 2 for an empty list; parts: of what was added together the number of vectors in each list."""
+        self.vectors, self.centres, self.n_probe, self.least, self.folder, self.params, self.parts = vectors, centres, n_probe, least, folder, params, parts or {}
+        self.inspected = 0  # vectors in the lists that the last search read
 
     @staticmethod
     def build(vectors: DataFrame, folder: str, params: IndexParams) -> InvertedFile:
@@ -116,12 +121,58 @@ class InvertedFile:
         x = np.array([r.embedding for r in sample], np.float64).reshape(-1, params.dims)
         n = min(len(x), params.n_lists or max(1, round(count**0.5)))
         centres = kmeans(x, n, params.seed) if n else np.zeros((0, params.dims))
-        rows.withColumn("centre", assign(F.col("embedding"), centres) if n else F.lit(0)).repartition("centre").write.partitionBy("centre").parquet(folder)
-        stored = rows.sparkSession.read.schema("chunk_id bigint, embedding array<float>, centre int").parquet(folder)
-        least = np.full(n, 2.0)
-        for r in stored.select("centre", cosine_to(F.col("embedding"), F.col("centre"), centres).alias("c")).groupBy("centre").agg(F.min(F.when(F.isnan("c"), -1.0).otherwise(F.col("c"))).alias("c")).collect() if n else ():
-            least[r.centre] = r.c
-        return InvertedFile(stored, centres, params.n_probe, least)
+        out = InvertedFile(rows, centres, params.n_probe, np.full(n, 2.0), folder, params)
+        out._store(rows, "first")
+        return out
+
+    def _store(self, rows: DataFrame, part: str) -> None:
+        """Adds normalised vectors under `part`; a list is spread over tasks by a hash of the ids, so that a large one isn't written by one."""
+        spark, n = rows.sparkSession, len(self.centres)
+        placed = rows.withColumn("centre", assign(F.col("embedding"), self.centres) if n else F.lit(0))
+        placed.repartition("centre", F.pmod(F.xxhash64("chunk_id"), F.lit(SPREAD))).write.mode("overwrite").partitionBy("centre").parquet(f"{self.folder}/lists/{part}")
+        stored = self._read(spark, [part])
+        sizes = np.zeros(n, np.int64)
+        near = stored.select("centre", cosine_to(F.col("embedding"), F.col("centre"), self.centres).alias("c")) if n else None
+        for r in near.groupBy("centre").agg(F.min(F.when(F.isnan("c"), -1.0).otherwise(F.col("c"))).alias("c"), F.count(F.lit(1)).alias("n")).collect() if n else ():
+            self.least[r.centre] = min(self.least[r.centre], r.c)
+            sizes[r.centre] = r.n
+        self.parts[part] = sizes
+        self.vectors = self._read(spark, list(self.parts))
+
+    def _read(self, spark: SparkSession, parts: list[str]) -> DataFrame:
+        schema = "chunk_id bigint, embedding array<float>, centre int"
+        return reduce(DataFrame.unionByName, [spark.read.schema(schema).parquet(f"{self.folder}/lists/{p}") for p in parts])
+
+    def save(self, files) -> None:
+        """Writes what isn't in the lists beside them; `files` reads and writes whole small files."""
+        held = {"params": asdict(self.params), "parts": {p: s.tolist() for p, s in self.parts.items()}, "least": self.least.tolist(), "centres": self.centres.tolist()}
+        files.write(f"{self.folder}/index.json", json.dumps(held))
+
+    @staticmethod
+    def open(spark: SparkSession, files, folder: str, batches: int | None = None) -> InvertedFile:
+        """batches: ingests that count; what one added that failed before it counted is left out."""
+        held = json.loads(files.read(f"{folder}/index.json"))
+        params = IndexParams(**held["params"])
+        out = InvertedFile(None, np.array(held["centres"], float).reshape(-1, params.dims), params.n_probe, np.array(held["least"], float), folder, params)
+        counts = lambda part: batches is None or not part.startswith("batch=") or int(part[6:]) < batches
+        out.parts, out.files = {p: np.array(s, np.int64) for p, s in held["parts"].items() if counts(p)}, files
+        out.vectors = out._read(spark, list(out.parts))
+        return out
+
+    @property
+    def sizes(self) -> np.ndarray:
+        return sum(self.parts.values(), np.zeros(len(self.centres), np.int64))
+
+    def extend(self, vectors: DataFrame, part: str) -> None:
+        """Adds the vectors of an ingest to the lists of the nearest centroids. A part that was added before is written again."""
+        rows = vectors.where(F.col("embedding").isNotNull()).select("chunk_id", V.normalised(check_dims(F.col("embedding"), self.params.dims)).alias("embedding"))
+        if not len(self.centres):  # built over nothing: the first vectors make the centroids
+            built = InvertedFile.build(vectors, self.folder, self.params)
+            built.save(self.files)
+            return
+        self.parts.pop(part, None)
+        self._store(rows, part)
+        self.save(self.files)
 
     def bounds(self, query: Sequence[float]) -> np.ndarray:
         """Of each list the highest cosine with the query that a vector in it may have."""
@@ -142,10 +193,13 @@ class InvertedFile:
         order = order[bounds[order] > -np.inf]
         first = order[: self.n_probe]
         if not np.any(query) or not len(order) or k <= 0:  # all scores are equal, or there is nothing to read
+            self.inspected = int(self.sizes[order].sum())
             return nearest(self.among(order), query, k, eligible)
         found = nearest(self.among(first), query, k, eligible).agg(F.count("score").alias("n"), F.min("score").alias("worst")).first()
         more = order if found.n < k else order[~(bounds[order] < found.worst)]
-        return nearest(self.among(np.union1d(first, more)), query, k, eligible)
+        read = np.union1d(first, more).astype(int)
+        self.inspected = int(self.sizes[read].sum())
+        return nearest(self.among(read), query, k, eligible)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> float:

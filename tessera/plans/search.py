@@ -169,7 +169,13 @@ class Search:
     def explain(self) -> Explain:
         r = selectivity(self.sources.chunks, self.condition).first()
         backend = self._backend()
-        return Explain(r.eligible, r.universe, r.selectivity, "none" if backend is None else backend.name)
+        if backend is None:
+            return Explain(r.eligible, r.universe, r.selectivity, "none")
+        # The exact scan scores every eligible vector; an index says how many its lists hold that it read.
+        if isinstance(backend, Exact):
+            rows = backend.vectors if self.eligible is None else backend.vectors.join(self.eligible, "chunk_id", "left_semi")
+            return Explain(r.eligible, r.universe, r.selectivity, backend.name, rows.count())
+        return Explain(r.eligible, r.universe, r.selectivity, backend.name, getattr(backend, "inspected", None))
 
 
 def collected(hits: DataFrame) -> list[dict[str, Any]]:

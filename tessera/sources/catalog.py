@@ -37,6 +37,8 @@ class VectorSpace:
     model: str = "bge-small-en-v1.5"
     status: str = "active"
     version: int = 0  # of the folder that holds its vectors
+    live: list[int] = field(default_factory=list)  # the batches that have vectors of it
+    index: dict | None = None  # of its inverted file: where it lies and what it was built with
 
     def __post_init__(self) -> None:
         if not isinstance(self.dims, int) or self.dims < 1:
@@ -55,14 +57,18 @@ class Collection:
     chunk_count: int = 0
     next_id: int = 0
     total_terms: int = 0
-    batches: int = 0
+    batches: int = 0  # the next batch's number
+    live: list[int] = field(default_factory=list)  # the batches that are read
+    streams: dict[str, int] = field(default_factory=dict)  # of each stream the last micro-batch that was ingested
     config: dict = field(default_factory=lambda: {"embed_model": "bge-small"})
     rebuilds: dict[str, dict] = field(default_factory=dict)
 
     @staticmethod
     def load(text: str) -> Collection:
         raw = json.loads(text)
-        raw["vector_spaces"] = {k: VectorSpace(**v) for k, v in raw["vector_spaces"].items()}
+        every = list(range(raw.get("batches", 0)))  # what files of an earlier form mean
+        raw["vector_spaces"] = {k: VectorSpace(**{"live": every, **v}) for k, v in raw["vector_spaces"].items()}
+        raw.setdefault("live", every)
         return Collection(**raw)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -12,16 +14,15 @@ from tessera.engine import Engine
 def stream_into(engine: Engine, name: str, rows: DataFrame, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Every micro-batch of `rows` (file_id, chunk_index, text, ...) is one ingest.
 
-    A micro-batch that is offered again after a failure is known by its number and skipped.
+    A micro-batch that is offered again after a failure is known by its stream and number and skipped.
+    A stream is known by the id in its checkpoint, so any number of streams may fill one collection;
+    the number is saved together with the batch, so that a crash leaves both or neither.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        c = engine.catalog.need(name)
-        if number <= c.config.get("stream_batch", -1) or batch.isEmpty():
-            return
-        c = engine.ingest_frame(name, batch)
-        c.config["stream_batch"] = number
-        engine.catalog.save(c)
+        stream = json.loads(engine.catalog.files.read(f"{checkpoint.rstrip('/')}/metadata"))["id"]
+        if not batch.isEmpty():
+            engine.ingest_frame(name, batch, stream=(stream, number))
 
     writer = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
