@@ -124,7 +124,7 @@ def test_op3(spark, texts):
     assert {r.doc_id: (r.class_id, r.links, r.keep) for r in run(spark, "op3_simhash_near_duplicates")} == want
 
 
-def test_op4(spark, duck):
+def test_op4(spark, duck, texts):
     marks = dict(duck.execute("SELECT doc_id, quality FROM labels").fetchall())
     rows = {r.doc_id: r for r in run(spark, "op4_compression_quality")}
     assert len(rows) == duck.execute("SELECT count(*) FROM documents").fetchall()[0][0]
