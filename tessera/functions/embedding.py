@@ -7,12 +7,18 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, FloatType
 
 from tessera.functions import analysis
+from tessera.operators.fts import postings
+from tessera.operators.relations import join_hot
+
+
+#: Tokens of a table that a task may hold.
+LOADED_TOKENS = 1_000_000
 
 
 class Embedder(Protocol):
@@ -42,6 +48,15 @@ class StaticEmbedder:
         return out
 
 
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> StaticEmbedder:
+        """From a stored table (token, vector) of Parquet; at most LOADED_TOKENS rows, as every task holds them."""
+        table = spark.read.parquet(path)
+        if (n := table.count()) > LOADED_TOKENS:
+            raise ValueError(f"{path} has {n} tokens; join it by static_embedding instead")
+        return StaticEmbedder({r.token: r.vector for r in table.where("token is not null").orderBy("token").collect()})
+
+
 class Fallback:
     """The first embedder with a vector that isn't zero."""
 
@@ -80,10 +95,23 @@ def embed_column(text: Column, embedder: Embedder, batch_size: int = 64) -> Colu
     return vectors(text)
 
 
+#: Rows of a token table up to which it is broadcast.
+BROADCAST_TOKENS = 500_000
+
+
 def static_embedding(texts: DataFrame, table: DataFrame, dims: int) -> DataFrame:
-    """(id, embedding) of (id, text) from a table (token, vector) as a join, for tables too large for a task."""
-    tokens = texts.select("id", F.explode(analysis.terms(F.col("text"), "simple")).alias("token")).join(table, "token")
-    sums = [F.avg(F.get("vector", F.lit(d)).cast("double")).alias(f"d{d}") for d in range(dims)]
+    """(id, embedding) of (id, text) from a table (token, vector; each token once) as a join, for tables too large for a task.
+
+    A text's equal tokens are one row with their number before anything is joined. Up to
+    BROADCAST_TOKENS the table is broadcast; beyond it the commonest tokens' rows are.
+    """
+    tokens = postings(texts, "simple").select(F.col("chunk_id").alias("id"), F.col("term").alias("token"), "tf")
+    if table.count() <= BROADCAST_TOKENS:
+        tokens = tokens.join(F.broadcast(table), "token")
+    else:
+        tokens = join_hot(tokens, table, "token")
+    weight = F.sum("tf")
+    sums = [(F.sum(F.col("tf") * F.get("vector", F.lit(d)).cast("double")) / weight).alias(f"d{d}") for d in range(dims)]
     mean = tokens.groupBy("id").agg(*sums).select("id", F.array(*(f"d{d}" for d in range(dims))).alias("m"))
     length = F.sqrt(F.aggregate("m", F.lit(0.0), lambda s, x: s + x * x))
     return mean.select("id", F.when(length > 0, F.transform("m", lambda x: x / length)).alias("embedding"))

@@ -16,13 +16,16 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.parquet as pq
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import DoubleType, IntegerType
 
 from tessera.functions import vector as V
 from tessera.operators.fusion import top
+from tessera.sources.shared import shared_folder
 
 
 @dataclass(frozen=True)
@@ -54,6 +57,62 @@ def nearest(vectors: DataFrame, query: Sequence[float], k: int, eligible: DataFr
     return top(scored, k)
 
 
+def nearest_of_all(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, chunk_id, score, rank): the k best by cosine for each of many queries (query_id, embedding), in blocks.
+
+    Vectors are written in parts of PART_VECTORS; a tile is a part with up to QUERIES_HELD queries, whose
+    products are taken as matrices. Only k rows of a query and part are shuffled. A query's own chunk counts.
+    """
+    spark = vectors.sparkSession
+    unit = lambda rows, name: rows.where(F.col("embedding").isNotNull()).select(F.col(name).cast("bigint").alias("id"), F.col("embedding").cast("array<float>").alias("x"))
+    folder = shared_folder(spark, "parts")
+    held, asked = unit(vectors, "chunk_id"), unit(queries, "query_id")
+    n, m = vectors.count(), queries.count()
+    parts, shares = max(1, -(-n // PART_VECTORS)), max(1, -(-m // QUERIES_HELD))
+    shares = max(shares, min(-(-m // QUERIES_LEAST), -(-spark.sparkContext.defaultParallelism // parts)))
+    held.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts))).repartition(parts * -(-PART_VECTORS // FILE_VECTORS) if parts > 1 else 1, "part", F.xxhash64("id") % 1009).write.partitionBy("part").parquet(folder)
+
+    def search(tile: pa.Table) -> pa.Table:
+        q_id, part = tile.column("id").to_numpy(), tile.column("part")[0].as_py()
+        q = _unit(np.array(tile.column("x").to_pylist(), float).reshape(len(q_id), -1))
+        found = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        for ids, x in _files_of(f"{folder}/part={part}"):
+            for at in range(0, len(q), QUERIES_AT_ONCE):
+                s = np.floor(q[at : at + QUERIES_AT_ONCE] @ _unit(x).T * 1e9 + 0.5) / 1e9
+                least = np.partition(s, -min(k, s.shape[1]), axis=1)[:, -min(k, s.shape[1])]
+                i, j = np.nonzero(s >= least[:, None])
+                found = _best_of(k, *(np.concatenate(p) for p in zip(found, (at + i, ids[j], s[i, j]), strict=True)))
+        return pa.table([pa.array(q_id[found[0]]), pa.array(found[1]), pa.array(found[2])], ["query_id", "chunk_id", "score"])
+
+    tiles = asked.withColumns({"part": F.explode(F.sequence(F.lit(0), F.lit(parts - 1))), "share": F.pmod(F.xxhash64("id"), F.lit(shares))})
+    tiles = tiles.repartition(2 * parts * shares, "part", "share").groupBy("part", "share").applyInArrow(search, "query_id bigint, chunk_id bigint, score double")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    return tiles.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _best_of(k: int, query: np.ndarray, item: np.ndarray, score: np.ndarray) -> list[np.ndarray]:
+    order = np.lexsort((item, -score, query))
+    query, item, score = query[order], item[order], score[order]
+    kept = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return [query[kept], item[kept], score[kept]]
+
+
+def _files_of(folder: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    files, base = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+    for info in files.get_file_info(fs.FileSelector(base, allow_not_found=True)):
+        if info.extension == "parquet":
+            with files.open_input_file(info.path) as f:
+                for batch in pq.ParquetFile(f).iter_batches(8192, columns=["id", "x"]):
+                    if batch.num_rows:
+                        yield batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1).astype(float)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows at length 1; a row without length stays."""
+    length = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(length > 0, length, 1)
+
+
 class Exact:
     name = "exact"
 
@@ -93,11 +152,13 @@ def cosine_to(embedding: Column, centre: Column, centres: np.ndarray) -> Column:
     @arrow_udf(DoubleType())
     def product(embeddings: pa.Array, own: pa.Array) -> pa.Array:
         x = embeddings.flatten().to_numpy(zero_copy_only=False).reshape(-1, centres.shape[1])
-        return pa.array(np.einsum("ij,ij->i", x.astype(float), centres[own.to_numpy(zero_copy_only=False)]))
+        return pa.array(np.einsum("ij,ij->i", _unit(x.astype(float)), centres[own.to_numpy(zero_copy_only=False)]))
 
     return product(embedding, centre)
 
 
+#: Vectors of a part, of one of its files, and queries that a task holds, takes at once, and is worth a task of their own.
+PART_VECTORS, FILE_VECTORS, QUERIES_HELD, QUERIES_AT_ONCE, QUERIES_LEAST = 1 << 24, 1 << 20, 65_536, 1024, 64
 #: Tasks that write one list.
 SPREAD = 16
 #: What rounding of stored floats may change in a cosine.
@@ -115,10 +176,10 @@ class InvertedFile:
     @staticmethod
     def build(vectors: DataFrame, folder: str, params: IndexParams) -> InvertedFile:
         """Writes the vectors under `folder`, a directory for each centroid."""
-        rows = vectors.where(F.col("embedding").isNotNull()).select("chunk_id", V.normalised(check_dims(F.col("embedding"), params.dims)).alias("embedding"))
+        rows = vectors.where(F.col("embedding").isNotNull()).select("chunk_id", check_dims(F.col("embedding"), params.dims).cast("array<float>").alias("embedding"))
         count = rows.count()
         sample = rows.orderBy(F.xxhash64("chunk_id", F.lit(params.seed)), "chunk_id").limit(params.train_rows).collect()
-        x = np.array([r.embedding for r in sample], np.float64).reshape(-1, params.dims)
+        x = _unit(np.array([r.embedding for r in sample], np.float64).reshape(-1, params.dims))
         n = min(len(x), params.n_lists or max(1, round(count**0.5)))
         centres = kmeans(x, n, params.seed) if n else np.zeros((0, params.dims))
         out = InvertedFile(rows, centres, params.n_probe, np.full(n, 2.0), folder, params)
@@ -126,7 +187,7 @@ class InvertedFile:
         return out
 
     def _store(self, rows: DataFrame, part: str) -> None:
-        """Adds normalised vectors under `part`; a list is spread over tasks by a hash of the ids, so that a large one isn't written by one."""
+        """Adds vectors as they are under `part`; a list is spread over tasks by a hash of the ids, so that a large one isn't written by one."""
         spark, n = rows.sparkSession, len(self.centres)
         placed = rows.withColumn("centre", assign(F.col("embedding"), self.centres) if n else F.lit(0))
         placed.repartition("centre", F.pmod(F.xxhash64("chunk_id"), F.lit(SPREAD))).write.mode("overwrite").partitionBy("centre").parquet(f"{self.folder}/lists/{part}")
@@ -165,7 +226,7 @@ class InvertedFile:
 
     def extend(self, vectors: DataFrame, part: str) -> None:
         """Adds the vectors of an ingest to the lists of the nearest centroids. A part that was added before is written again."""
-        rows = vectors.where(F.col("embedding").isNotNull()).select("chunk_id", V.normalised(check_dims(F.col("embedding"), self.params.dims)).alias("embedding"))
+        rows = vectors.where(F.col("embedding").isNotNull()).select("chunk_id", check_dims(F.col("embedding"), self.params.dims).cast("array<float>").alias("embedding"))
         if not len(self.centres):  # built over nothing: the first vectors make the centroids
             built = InvertedFile.build(vectors, self.folder, self.params)
             built.save(self.files)
