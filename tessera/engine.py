@@ -175,15 +175,8 @@ class Engine:
 
         Chunks whose text has no vector are counted as failed and have none afterwards.
         """
-        c = self.catalog.need(name)
-        if space not in c.vector_spaces:
-            raise NotFound(f"{name!r} has no vector space {space!r}")
-        if c.rebuilds.get(space, {}).get("status") == "running":
-            raise CollectionError(f"{space!r} is being rebuilt")
-        embedder = embedder or self.embedder
+        c, embedder = self.check_rebuild(name, space, embedder)
         v = c.vector_spaces[space]
-        if embedder is None or embedder.dims != v.dims:
-            raise CollectionError("a rebuild needs an embedder of the space's dimensions")
         c.rebuilds[space] = {"status": "running", "embedded": 0, "total": c.chunk_count}
         self.catalog.save(c)
         try:
@@ -209,6 +202,18 @@ class Engine:
             raise
         return self.rebuild_status(name, space)
 
+    def check_rebuild(self, name: str, space: str, embedder: Embedder | None = None) -> tuple[Collection, Embedder]:
+        """The collection and the embedder that a rebuild of the space would use, or an error."""
+        c = self.catalog.need(name)
+        if space not in c.vector_spaces:
+            raise NotFound(f"{name!r} has no vector space {space!r}")
+        if c.rebuilds.get(space, {}).get("status") == "running":
+            raise CollectionError(f"{space!r} is being rebuilt")
+        embedder = embedder or self.embedder
+        if embedder is None or embedder.dims != c.vector_spaces[space].dims:
+            raise CollectionError("a rebuild needs an embedder of the space's dimensions")
+        return c, embedder
+
     def rebuild_status(self, name: str, space: str) -> dict[str, Any]:
         """Progress of the last rebuild; a space that had none is complete."""
         c = self.catalog.need(name)
