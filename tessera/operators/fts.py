@@ -19,13 +19,14 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import analysis
-from tessera.operators.fusion import top
+from tessera.operators.fusion import best_of, top
 from tessera.plans import textquery as Q
-from tessera.sources.shared import shared_folder
+from tessera.sources.shared import shared_folder, shared_table
 
 K1, B = 1.2, 0.75
 POSTINGS = "term string, chunk_id bigint, tf int, positions array<int>"
@@ -306,3 +307,95 @@ def _has_field(node: Q.Node) -> bool:
     if isinstance(node, Q.Bool):
         return any(_has_field(n) for part in (node.must, node.should, node.must_not) for n in part)
     return isinstance(node, (Q.Equals, Q.Range, Q.OneOf))
+
+
+# --- many queries at once ---------------------------------------------------------------------
+
+#: Words of queries (of all of them together) that are scored in one pass, and pairs of a word and a query at once.
+WORDS_AT_ONCE, PAIRS_AT_ONCE = 500_000, 4_000_000
+
+
+def search_many(chunks: DataFrame, queries: DataFrame, k: int, analyzer: str = "english") -> DataFrame:
+    """(query_id, chunk_id, score, rank): the k best chunks (id, text) for each query (query_id, text), any of its words.
+
+    The texts are analysed once. Their counts of the queries' words are written; each pass over these
+    scores a bounded block of queries, and only k rows of a query and task are shuffled. A word that a
+    query repeats counts once.
+    """
+    spark = chunks.sparkSession
+    asked = queries.select(F.col("query_id").cast("bigint").alias("query_id"), F.explode(F.array_distinct(analysis.terms(F.col("text"), analyzer))).alias("term"))
+    asked = shared_table(asked, "asked")
+    blocks = max(1, -(-asked.count() // WORDS_AT_ONCE))
+    held = shared_table(_counts(chunks, asked.select("term").distinct(), analyzer), "counts")
+    stats = shared_table(doc_stats(chunks), "lengths")
+    n, total = corpus_counts(stats)
+    df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    words = shared_table(asked.join(df.select("term", idf.alias("idf")), "term").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))), "words")
+    # The rows of a chunk lie together, as they were counted.
+    rows = held.join(stats, "chunk_id").select("chunk_id", "term", (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(total / n if total else 1.0)))).alias("part"))
+    rows = rows.repartition("chunk_id").sortWithinPartitions("chunk_id")
+    found = [rows.mapInArrow(_scores(spark, words.where(F.col("block") == b), k), "query_id bigint, chunk_id bigint, score double") for b in range(blocks)]
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    return reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _counts(chunks: DataFrame, terms: DataFrame, analyzer: str) -> DataFrame:
+    return postings(chunks, analyzer).select("chunk_id", "term", "tf").join(terms, "term", "left_semi")
+
+
+def _scores(spark: SparkSession, words: DataFrame, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's k best chunks of each query, from (chunk_id, term, part); `words` is a block, so it has a bounded number of rows."""
+    block = words.select("query_id", "term", "idf").orderBy("term", "query_id").toPandas()
+    names, first = np.unique(block["term"].to_numpy(dtype=object).astype(str), return_index=True) if len(block) else (np.zeros(0, "U1"), np.zeros(0, np.int64))
+    ids, query = np.unique(block["query_id"].to_numpy(np.int64), return_inverse=True)
+    sent = spark.sparkContext.broadcast((pa.array(names.tolist(), pa.string()), np.append(first, len(block)).astype(np.int64), ids, query, block["idf"].to_numpy(float)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, first, ids, query, idf = sent.value
+        best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        rest: list[pa.RecordBatch] = []
+
+        def take(b: pa.RecordBatch) -> None:
+            nonlocal best
+            code = pc.index_in(b.column(1), names).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            known = np.flatnonzero(code >= 0)
+            chunk, code, part = b.column(0).to_numpy()[known], code[known], b.column(2).to_numpy()[known]
+            size = first[code + 1] - first[code]
+            ends = np.append(np.flatnonzero(np.diff(chunk)) + 1, len(chunk))  # a chunk is scored whole
+            total, at = np.cumsum(size), 0
+            while at < len(chunk):
+                base = total[at - 1] if at else 0
+                e = ends[(ends > at) & (total[ends - 1] <= base + PAIRS_AT_ONCE)]
+                to = int(e[-1]) if len(e) else int(ends[ends > at][0])
+                m = size[at:to]
+                row = np.repeat(np.arange(at, to), m)
+                w = np.repeat(first[code[at:to]] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+                names_of, local = np.unique(chunk[at:to], return_inverse=True)
+                key, where = np.unique(local[row - at] * len(ids) + query[w], return_inverse=True)
+                s = np.floor(np.bincount(where, part[row] * idf[w], len(key)) * 1e9 + 0.5) / 1e9
+                best = best_of(k, *(np.concatenate(p) for p in zip(best, (key % len(ids), names_of[key // len(ids)], s), strict=True)))
+                at = to
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if rest and rest[-1].column(0)[-1].as_py() != b.column(0)[0].as_py():
+                take(_joined(rest))
+                rest = []
+            # The last chunk's rows may go on in the next batch.
+            ids_here = b.column(0).to_numpy()
+            cut = int(np.searchsorted(ids_here, ids_here[-1]))
+            if cut:
+                take(_joined([*rest, b.slice(0, cut)]))
+                rest = []
+            rest.append(b.slice(cut))
+        if rest:
+            take(_joined(rest))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[best[0]]), pa.array(best[1]), pa.array(best[2])], ["query_id", "chunk_id", "score"])
+
+    return run
+
+
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,3 +28,11 @@ def reciprocal_rank_fusion(fts: DataFrame, semantic: DataFrame, limit: int, k: f
     both = F.when(F.count_distinct("name") == 2, "both").otherwise(F.first("name"))
     merged = lists[0].unionByName(lists[1]).groupBy("chunk_id").agg(F.sum("part").alias("base_score"), both.alias("source"))
     return top(merged, limit, "base_score")
+
+
+def best_of(k: int, query: np.ndarray, item: np.ndarray, score: np.ndarray) -> list[np.ndarray]:
+    """The k best of each query; of equal scores the smaller item."""
+    order = np.lexsort((item, -score, query))
+    query, item, score = query[order], item[order], score[order]
+    kept = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return [query[kept], item[kept], score[kept]]

@@ -24,7 +24,7 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import DoubleType, IntegerType
 
 from tessera.functions import vector as V
-from tessera.operators.fusion import top
+from tessera.operators.fusion import best_of, top
 from tessera.sources.shared import shared_folder
 
 
@@ -81,7 +81,7 @@ def nearest_of_all(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 s = np.floor(q[at : at + QUERIES_AT_ONCE] @ _unit(x).T * 1e9 + 0.5) / 1e9
                 least = np.partition(s, -min(k, s.shape[1]), axis=1)[:, -min(k, s.shape[1])]
                 i, j = np.nonzero(s >= least[:, None])
-                found = _best_of(k, *(np.concatenate(p) for p in zip(found, (at + i, ids[j], s[i, j]), strict=True)))
+                found = best_of(k, *(np.concatenate(p) for p in zip(found, (at + i, ids[j], s[i, j]), strict=True)))
         return pa.table([pa.array(q_id[found[0]]), pa.array(found[1]), pa.array(found[2])], ["query_id", "chunk_id", "score"])
 
     tiles = asked.withColumns({"part": F.explode(F.sequence(F.lit(0), F.lit(parts - 1))), "share": F.pmod(F.xxhash64("id"), F.lit(shares))})
@@ -90,13 +90,6 @@ def nearest_of_all(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return tiles.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _best_of(k: int, query: np.ndarray, item: np.ndarray, score: np.ndarray) -> list[np.ndarray]:
-    order = np.lexsort((item, -score, query))
-    query, item, score = query[order], item[order], score[order]
-    kept = np.arange(len(query)) - np.searchsorted(query, query) < k
-    return [query[kept], item[kept], score[kept]]
-
-
 def _files_of(folder: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     files, base = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
     for info in files.get_file_info(fs.FileSelector(base, allow_not_found=True)):

@@ -213,6 +213,21 @@ query("fts_field_range", f"WITH {_bm25(('anea',))} SELECT chunk_id, round(score
 query("fts_parse_failure", "SELECT doc_id AS chunk_id, 0.0::DOUBLE AS score FROM documents WHERE false")(_matching("http://a.example/b"))
 
 
+@query(
+    "fts_batch_top10",
+    f"""WITH {_INDEX},
+q AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), lambda t: strlen(t) < 40)) AS term FROM benchmark),
+df AS (SELECT term, count(*)::DOUBLE AS df FROM p WHERE term IN (SELECT term FROM q) GROUP BY 1),
+s AS (SELECT query_id, doc_id AS chunk_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score
+      FROM q JOIN p USING (term) JOIN df USING (term) JOIN dl USING (doc_id) CROSS JOIN cs GROUP BY 1, 2)
+SELECT query_id, chunk_id, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) <= {K}""",
+)
+def fts_batch_top10(spark: SparkSession, sf: str) -> DataFrame:
+    """Every benchmark text asks all documents, in one job."""
+    asked = table(spark, sf, "benchmark").withColumnRenamed("item_id", "query_id")
+    return fts.search_many(documents(spark, sf), asked, K, "simple").select("query_id", "chunk_id", F.round("score", 6).alias("score"))
+
+
 @query("fts_filtered_pre", f"WITH {_bm25(WORDS)} SELECT chunk_id, round(score, 6) AS score FROM s JOIN documents d ON d.doc_id = chunk_id WHERE d.lang = 'en' AND d.n_chars >= 1000 {_TOP} {K}")
 def fts_filtered_pre(spark: SparkSession, sf: str) -> DataFrame:
     condition = compile_filters({"lang": "en", "n_chars": {"gte": 1000}}, DOC_FIELDS)

@@ -155,3 +155,30 @@ def test_stemmed_scores_against_loops(spark):
         same(got, want)
         best = sorted(want, key=lambda k: (-want[k], k))[:5]
         assert [r.chunk_id for r in index.search("Running NATIONS", 5).collect()] == best
+
+
+def test_many_queries_at_once(spark, monkeypatch):
+    """The same as asking one after the other, in any blocks; words that no chunk has, empty queries and nulls find nothing."""
+    rng = random.Random(21)
+    words = [f"w{k}" for k in range(30)]
+    texts = [" ".join(rng.choices(words, [1 / (k + 1) for k in range(30)], k=rng.randint(0, 40))) for _ in range(150)] + [None]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    asked = [" ".join(rng.sample(words, 3)) for _ in range(8)] + ["nothing", "", None, "w1"]
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id bigint, text string")
+    index = fts.FullText.build(chunks, "simple")
+    want = {}
+    for q, text in enumerate(asked):
+        rows = index.search(text, 5).collect() if text and text != "nothing" else []
+        want[q] = [(r.chunk_id, round(r.score, 6)) for r in sorted(rows, key=lambda r: (-round(r.score, 9), r.chunk_id))]
+    for at_once, pairs in ((500_000, 4_000_000), (7, 10)):
+        monkeypatch.setattr(fts, "WORDS_AT_ONCE", at_once)
+        monkeypatch.setattr(fts, "PAIRS_AT_ONCE", pairs)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000" if at_once > 7 else "13")
+        try:
+            got = {}
+            for r in fts.search_many(chunks, queries, 5, "simple").orderBy("query_id", "rank").collect():
+                got.setdefault(r.query_id, []).append((r.chunk_id, round(r.score, 6)))
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert got == {q: rows for q, rows in want.items() if rows}
+    assert fts.search_many(chunks.where("false"), queries, 5, "simple").count() == 0 and fts.search_many(chunks, queries.where("false"), 5, "simple").count() == 0

@@ -164,3 +164,23 @@ def test_facets(spark):
     ids = spark.range(100_000).withColumn("metadata", M.metadata_of(k=("int", F.col("id") % 3)))
     counts = facets.facet_sets(ids, "k").groupBy("value").agg(F.sum(F.bitmap_count("bitmap")).alias("n")).collect()
     assert {r.value: r.n for r in counts} == {"0": 33334, "1": 33333, "2": 33333}
+
+
+def test_many_vectors_at_once(spark, monkeypatch):
+    rng = np.random.default_rng(30)
+    x = rng.integers(-2, 3, (300, 6)).astype(np.float32)  # ties, equal vectors, and some without length
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], VECTORS)
+    asked = frame.where("chunk_id % 25 = 0").withColumnRenamed("chunk_id", "query_id")
+    want = {(q, r.chunk_id) for q in range(0, 300, 25) for r in vectors.nearest(frame, x[q].tolist(), 7).select("chunk_id", F.round("score", 9).alias("score")).collect()}
+    for part in (1 << 24, 64):
+        monkeypatch.setattr(vectors, "PART_VECTORS", part)
+        monkeypatch.setattr(vectors, "FILE_VECTORS", 16 if part == 64 else 1 << 20)
+        monkeypatch.setattr(vectors, "QUERIES_AT_ONCE", 5)
+        rows = vectors.nearest_of_all(frame, asked, 7).collect()
+        assert len(rows) == 84 and len({(r.query_id, r.rank) for r in rows}) == 84
+        y = x.astype(float) / np.where((n := np.linalg.norm(x.astype(float), axis=1, keepdims=True)) > 0, n, 1)
+        for r in rows:
+            assert r.score == pytest.approx(float(y[r.query_id] @ y[r.chunk_id]), abs=1e-8)
+        assert len({(r.query_id, r.chunk_id) for r in rows} ^ want) <= 12  # equal scores that differ in the last bits
+    none = frame.withColumn("embedding", F.lit(None).cast("array<float>"))
+    assert vectors.nearest_of_all(none, asked, 3).count() == 0 and vectors.nearest_of_all(frame, asked.where("false"), 3).count() == 0
