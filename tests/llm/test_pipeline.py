@@ -90,6 +90,18 @@ def test_odd_tables(spark, corpus, tmp_path):
     assert {p.doc_id for r in packed for p in r.pieces} == {2, 3, 4, 5, 6, 7}
 
 
+def test_no_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from tessera.llm.spill import shared_dir
+
+    unset = SimpleNamespace(sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="yarn", setCheckpointDir=lambda _: None), conf=SimpleNamespace(get=lambda *_: None))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(unset)
+    unset.sparkContext.master = "local[2]"
+    assert shared_dir(unset)
+
+
 def test_registered():
     import __spark_entry__ as entry
 
