@@ -49,8 +49,10 @@ from .textkit import mix64, passes, word_hashes
 RADIUS = 19
 #: Radius in each of the eight 16-bit bands; sum(r + 1) = RADIUS + 1 makes the search exact.
 BAND_RADII = (2, 2, 2, 2, 1, 1, 1, 1)
-LEAF_CODES = 128
+LEAF_CODES = 256
 PAIRS_AT_ONCE = 2_000_000
+#: Code pairs of a leaf compared at once: they stay in a core's cache.
+CODES_AT_ONCE = 1 << 17
 #: Fingerprints of a shell up to which it is one shard; a shard holds at most two blocks.
 BLOCK = 524_288
 #: Ids (16 bytes each in a hash relation) up to which an anti-join broadcasts them.
@@ -149,8 +151,8 @@ class VantageTree:
                 stack.append((near, rows[d - r <= mu]))
                 stack.append((far, rows[d + r > mu]))
                 continue
-            for part in np.array_split(rows, 1 + len(rows) * len(node) // PAIRS_AT_ONCE):
-                i, j = np.nonzero(np.bitwise_count(asked[part, None] ^ self.codes[node][None, :]) <= r)
+            for part in np.array_split(rows, 1 + len(rows) * len(node) // CODES_AT_ONCE):
+                i, j = np.divmod(np.flatnonzero(np.bitwise_count(asked[part, None] ^ self.codes[node][None, :]).ravel() <= r), len(node))
                 found.append((part[i], node[j]))
         return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
 
