@@ -100,7 +100,7 @@ def fingerprint(text: Column) -> Column:
     return _fingerprint(text)
 
 
-# --- within a shard ------------------------------------------------------------------------
+# --- within a shard
 
 
 class Prints(NamedTuple):
@@ -252,7 +252,7 @@ def merge(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
             label = jumped
 
 
-# --- the distributed plan ----------------------------------------------------------------
+# --- the distributed plan
 
 
 def shell(n: np.ndarray) -> np.ndarray:

@@ -305,7 +305,7 @@ def score(text: str, lexicon: Lexicon, lang: str | None) -> tuple[float, int, fl
     return sum(s for s, _ in found), len(found), sum(f for _, f in found)
 
 
-# --- stems from labelled rows -------------------------------------------------------------
+# --- stems from labelled rows
 
 
 def beginnings(text: str) -> set[str]:
@@ -416,7 +416,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return choose([(*key, clean.get(key, 0), n) for key, n in toxic.items()], totals)
 
 
-# --- scoring a table ------------------------------------------------------------------------
+# --- scoring a table
 
 SCORED = StructType([StructField("score", DoubleType()), StructField("clauses", IntegerType()), StructField("firm", DoubleType())])
 

@@ -2,7 +2,9 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from tessera.llm import bpe
 from tessera.llm import packing as P
 
 from .helpers import docs, empty, odd
@@ -99,6 +101,16 @@ def test_a_repeated_row_is_spread_over_shards(spark, monkeypatch):
     assert len(shards) >= 8 and max(held.values()) < 80
 
 
+def test_byte_pair_tokens(spark):
+    """Packed by the number of byte-pair tokens instead of bytes."""
+    texts = ["the river runs " * n for n in range(1, 40)] + ["", "é中\U0001f600"]
+    frame = docs(spark, texts)
+    counts = {r.doc_id: r.n for r in frame.select("doc_id", bpe.token_count(frame["text"]).alias("n")).collect()}
+    assert counts == {r.doc_id: r.n_tokens for r in bpe.encode_and_check(frame).collect()}
+    check(P.pack(frame, bpe.token_count(frame["text"]), capacity=128).collect(), counts, 128)
+    assert odd(spark).select(bpe.token_count(F.col("text")).alias("n")).where("n is null").count() == 2
+
+
 def test_tasks_grow_with_islands():
     assert [P.tasks_for(n) for n in (0, 5, 10_000)] == [1, 5, 4096] and P.tasks_for(10**8) > 190_000
 
