@@ -27,7 +27,7 @@ class Engine:
         self.store = Store(spark, self.catalog)
         self._backends: dict[tuple[str, int], VectorBackend] = {}
 
-    # --- collections and spaces -------------------------------------------------------------
+    # --- collections and spaces
 
     def create_collection(self, name: str, vector_spaces: Mapping[str, Mapping[str, Any]] | None = None, embedding_dims: int | None = None, config: dict | None = None) -> Collection:
         spaces = {k: VectorSpace(**v) for k, v in (vector_spaces or {}).items()}
@@ -55,7 +55,7 @@ class Engine:
     def set_default_vector_space(self, name: str, space: str) -> None:
         self.catalog.set_default_space(name, space)
 
-    # --- ingest -------------------------------------------------------------------------------
+    # --- ingest
 
     def ingest(self, name: str, chunks: Iterable[Mapping[str, Any]]) -> dict[str, Any]:
         """Request objects; returns the number of chunks, ids by client id, and the time taken."""
@@ -95,7 +95,7 @@ class Engine:
             fits = self.embedder is not None and default is not None and self.embedder.dims == default.dims
             return self.store.append(c, rows, (lambda text: embed_column(text, self.embedder)) if fits else None, stream)
 
-    # --- queries ------------------------------------------------------------------------------
+    # --- queries
 
     def chunks(self, name: str) -> DataFrame:
         return self.store.chunks(self.catalog.need(name))
@@ -168,7 +168,7 @@ class Engine:
             self._backends[folder, batches] = InvertedFile.open(self.spark, self.catalog.files, folder, batches)
         return self._backends[folder, batches]
 
-    # --- rebuild --------------------------------------------------------------------------------
+    # --- rebuild
 
     def rebuild(self, name: str, space: str, embedder: Embedder | None = None, batch_size: int = 64) -> dict[str, Any]:
         """Embeds every chunk's text anew into a new version of the space's folder, then switches to it.

@@ -104,7 +104,7 @@ class FullText:
         stats = doc_stats(chunks)
         return FullText(chunks, postings(chunks, analyzer), stats, *corpus_counts(stats), analyzer)
 
-    # --- planning -------------------------------------------------------------------------
+    # --- planning
 
     def _leaves(self, node: Q.Node, boost: float, out: list[Leaf]) -> tuple[Column, Column, bool]:
         """(matches, score, whether chunks without a word of the query may match)."""
@@ -192,7 +192,7 @@ class FullText:
     def idf(self, df: int) -> float:
         return math.log(1 + (self.n - df + 0.5) / (df + 0.5))
 
-    # --- running ----------------------------------------------------------------------------
+    # --- running
 
     def matches(self, query: str, score: bool = True) -> DataFrame:
         """(chunk_id, score) of every chunk that the query matches; a query that can't be parsed is one raw term."""
@@ -309,7 +309,7 @@ def _has_field(node: Q.Node) -> bool:
     return isinstance(node, (Q.Equals, Q.Range, Q.OneOf))
 
 
-# --- many queries at once ---------------------------------------------------------------------
+# --- many queries at once
 
 #: Words of queries (of all of them together) that are scored in one pass, and pairs of a word and a query at once.
 WORDS_AT_ONCE, PAIRS_AT_ONCE = 500_000, 4_000_000

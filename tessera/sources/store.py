@@ -99,7 +99,7 @@ class Store:
         held = self._table(c, "postings", fts.POSTINGS, c.live), self._table(c, "doc_stats", fts.DOC_STATS, c.live)
         return fts.FullText(self.chunks(c), *held, c.chunk_count, c.total_terms, c.config.get("analyzer", "english"))
 
-    # --- ingest ---------------------------------------------------------------------------
+    # --- ingest
 
     def numbered(self, rows: DataFrame, first: int, staged: str) -> DataFrame:
         """`rows` with dense ids from `first` on; by ordinal where there is one, else in the order of the tasks.

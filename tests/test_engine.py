@@ -29,7 +29,7 @@ def engine(spark, tmp_path):
     return Engine(spark, f"{tmp_path}/data")
 
 
-@pytest.mark.parametrize("name", ["my-collection", "harrier", "qwen3-vl", "a", "A1"])
+@pytest.mark.parametrize("name", ["news-2024", "archive", "v2", "a", "A1"])
 def test_good_names(name):
     assert check_name(name) == name
 
