@@ -13,10 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, neardup, packing, pii, quality, spill, toxicity
-
-#: Tokens of a training sequence, each piece's end mark included.
-SEQUENCE_TOKENS = 4_096
+from tessera.llm import neardup, packing, pii, quality, spill, toxicity
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,12 +52,12 @@ def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' ids and pieces, packed into training sequences of SEQUENCE_TOKENS byte-pair tokens.
+    """The documents' ids and pieces, packed into training sequences of packing.CAPACITY byte-level tokens.
 
     Rows with a null id or text are left out, an empty text is a piece of its end mark alone, rows
     that repeat an id are packed each. The result holds no other column of the documents.
     """
-    return packing.pack(docs, bpe.token_count(docs["text"].cast("string")), capacity=SEQUENCE_TOKENS)
+    return packing.pack(docs, packing.byte_tokens(docs["text"]))
 
 
 STAGES = [
