@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from tessera.llm import pii
@@ -106,3 +108,40 @@ def test_whole_candidates(text, kind, value):
 @pytest.mark.parametrize("text", ["the password is incorrect here", "password: required", "a passport is needed", "see http://a.example.com", "tokens: none at all"])
 def test_prose_with_cues(text):
     assert pii.find(text) == []
+
+
+LONG = {
+    "table of bracketed numbers": "(30) 123 45 67 89 1 (1) 22 33 ",
+    "groups behind one plus": "23 4 567 ",
+    "cues without a sign": "token",
+    "cues with a sign": "token=",
+    "schemes": "http://",
+    "keys": "sk-",
+    "joined words": "token-is-",
+}
+
+
+@pytest.mark.parametrize("repeated", LONG.values(), ids=LONG)
+def test_time_follows_the_length(repeated):
+    def seconds(n: int) -> float:
+        text = "+1 " + repeated * (n // len(repeated))
+        began = time.process_time()
+        pii.find(text)
+        return time.process_time() - began
+
+    seconds(10_000)
+    assert seconds(200_000) < 5  # a quadratic read takes a minute
+
+
+@pytest.mark.parametrize(
+    ("text", "values"),
+    [
+        ("password=abctoken1: hunter2hunter", ["abctoken1", "hunter2hunter"]),
+        ("token=abc@x.com:password=hunter22", ["token=abc@x.com", "hunter22"]),
+        ("sk-aaaaaaaaaaaaaaaaaaaatoken_x=hunter22", ["sk-aaaaaaaaaaaaaaaaaaaatoken_x", "hunter22"]),
+        ("password=tokentoken=tokentoken1", ["tokentoken=tokentoken1"]),
+        ("token-is-abc12345", ["-abc12345"]),
+    ],
+)
+def test_secrets_within_and_behind_secrets(text, values):
+    assert [text[f.start : f.end] for f in pii.find(text)] == values
