@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -37,6 +37,10 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 AT_ONCE = 1 << 16
 LONG = 512
+#: Pieces over LONG bytes are encoded together if at least so many are half as long as the longest.
+TOGETHER = 96
+#: Answers that a long piece keeps.
+KNOWN = 1 << 18
 DECODED_AT_ONCE = 1 << 19
 #: Text bytes encoded together; what a task holds follows it, not the rows of an Arrow batch.
 PASS = 6 << 20
@@ -185,11 +189,22 @@ class Vocabulary:
     def encode_pieces(self, raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids) of the byte ranges of `raw`, each encoded on its own."""
         order = np.argsort(-size, kind="stable")
+        falling = -size[order]
         sizes, ids = np.zeros(len(size), np.int64), []
         at = 0
         while at < len(order):
             width = int(size[order[at]]) + 1
-            part = order[at : at + max(1, min(AT_ONCE, (AT_ONCE * 64) // width))]
+            many = max(1, min(AT_ONCE, (AT_ONCE * 64) // width))
+            if width > LONG:
+                alike = int(np.searchsorted(falling, -(width // 2), side="right")) - at
+                if alike < TOGETHER:
+                    one = order[at]
+                    ids.append(np.array(self._encode_one(raw[start[one] : start[one] + size[one]].tobytes()), np.int64))
+                    sizes[one] = len(ids[-1])
+                    at += 1
+                    continue
+                many = min(many, alike)
+            part = order[at : at + many]
             flat, count = self._encode_sorted(raw, start[part], size[part])
             ids.append(flat)
             sizes[part] = count
@@ -201,9 +216,6 @@ class Vocabulary:
 
     def _encode_sorted(self, raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n, width = len(start), int(size[0]) + 1 if len(size) else 1
-        if n < 8 and width > LONG:
-            parts = [self._encode_one(raw[s : s + k].tobytes()) for s, k in zip(start, size, strict=True)]
-            return np.array([x for p in parts for x in p], np.int64), np.array([len(p) for p in parts], np.int64)
         last = np.full((width, n), -1, np.int32)
         state = np.zeros(n, np.int64)
         for i in range(1, width):
@@ -232,29 +244,49 @@ class Vocabulary:
             flat[end[rows] - 1 - k] = token
         return flat, count
 
+    @cached_property
+    def _single(self) -> tuple[dict[int, int], list[int], list[int], list[int], list[int]]:
+        """Merges by pair, both parts, sizes and next shorter suffixes, for one token at a time; made when a long piece comes."""
+        held = np.flatnonzero(self.keys >= 0)
+        merges = dict(zip(self.keys[held].tolist(), self.values[held].tolist(), strict=True))
+        return merges, self.left.tolist(), self.right.tolist(), self.size.tolist(), self.shorter.tolist()
+
     def _encode_one(self, piece: bytes) -> list[int]:
         """The same for one long piece, a position at a time."""
+        merges, left, right, size, shorter = self._single
+        step, longest = self.step, self.longest
         last, state = [-1] * (len(piece) + 1), 0
-        known: dict[tuple[int, int], bool] = {}
-        size, shorter = self.size, self.shorter
-        for i, byte in enumerate(piece, 1):
-            state = int(self.step[state * 256 + byte])
-            token = int(self.longest[state])
+        known: dict[int, bool] = {}
+
+        def follows(a: int, b: int) -> bool:
+            none = limit = int(NONE)
             while True:
-                before = i - int(size[token])
-                if before == 0:
-                    break
-                pair = (last[before], token)
-                if (ok := known.get(pair)) is None:
-                    ok = known[pair] = bool(self._follows(np.array([pair[0]]), np.array([pair[1]]))[0])
+                if merges.get((a << 20) | b, none) < limit:
+                    return False
+                if a < 256 and b < 256:
+                    return True
+                if a > b:
+                    limit, a = a, right[a]
+                else:
+                    limit, b = b + 1, left[b]
+
+        for i, byte in enumerate(piece, 1):
+            state = int(step[state * 256 + byte])
+            token = int(longest[state])
+            while before := i - size[token]:
+                key = (last[before] << 20) | token
+                if (ok := known.get(key)) is None:
+                    if len(known) >= KNOWN:
+                        known.clear()
+                    ok = known[key] = follows(last[before], token)
                 if ok:
                     break
-                token = int(shorter[token])
+                token = shorter[token]
             last[i] = token
         out, at = [], len(piece)
         while at:
             out.append(last[at])
-            at -= int(size[last[at]])
+            at -= size[last[at]]
         return out[::-1]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -87,3 +87,12 @@ def test_odd_tables(spark):
 def test_unknown_id():
     with pytest.raises(ValueError):
         bpe.vocabulary().decode(np.array([10**7]), np.array([1]))
+
+
+def test_long_pieces_alone_and_among_others(reference):
+    rng = random.Random(8)
+    word = lambda n, letters="abcdefghijklmnopqrstuvwxyz": "".join(rng.choice(letters) for _ in range(n))
+    texts = [word(60_000), word(600, "ab"), *(word(rng.randint(500, 1500)) for _ in range(150)), *(word(9) for _ in range(50)), word(40_000, "aé"), "字" * 20_000]
+    ids, sizes = bpe.vocabulary().encode(pa.array(texts))
+    assert ids.tolist() == [t for x in texts for t in reference.encode_ordinary(x)]
+    assert sizes.tolist() == [len(reference.encode_ordinary(x)) for x in texts]
