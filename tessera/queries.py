@@ -582,7 +582,7 @@ def collection_search(spark: SparkSession, sf: str) -> DataFrame:
 @query("stream_event_counts", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS count, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")
 def stream_event_counts(spark: SparkSession, sf: str) -> DataFrame:
     folder = shared_folder(spark, "stream")
-    events = streams.read_events(spark, sf, "events.parquet")
+    events = streams.read_events(spark, sf)
     out = streams.event_counts(events, late="400 days").writeStream.outputMode("complete")
     out.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/counts")).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{folder}/counts").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "count", F.round("value", 4).alias("value"))
@@ -594,7 +594,7 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     folder = shared_folder(spark, "stream")
     engine = Engine(spark, f"{folder}/collections")
     engine.create_collection("both", embedding_dims=4, config={"analyzer": "simple"})
-    read = lambda schema, name: spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    read = lambda schema, name: streams.read_table(spark, schema, f"{sf}/{name}.parquet")
     said = read("conv_id bigint, turn bigint, role string, text string", "conversations")
     said = said.select(F.col("conv_id").cast("string").alias("file_id"), F.col("turn").alias("chunk_index"), "text", M.metadata_of(source=("string", F.lit("turns")), kind=("string", F.col("role"))).alias("metadata"))
     done = read("event_id bigint, user_id bigint, event_type string, props string", "events")

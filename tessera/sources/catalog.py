@@ -108,6 +108,10 @@ class Files:
         files, p = self._at(path)
         return files.exists(p)
 
+    def is_folder(self, path: str) -> bool:
+        files, p = self._at(path)
+        return files.exists(p) and files.getFileStatus(p).isDirectory()
+
     def delete(self, path: str) -> bool:
         files, p = self._at(path)
         return files.delete(p, True)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tessera.engine import Engine
+from tessera.sources.catalog import Files
 
 
 def stream_into(engine: Engine, name: str, rows: DataFrame, checkpoint: str, available_now: bool = True) -> StreamingQuery:
@@ -34,6 +35,14 @@ def event_counts(events: DataFrame, width: str = "1 hour", late: str = "2 hours"
     return rows.groupBy(F.window("at", width), "event_type").agg(F.count(F.lit(1)).alias("count"), F.sum("value").alias("value")).select(F.col("window.start").alias("start"), "event_type", "count", "value")
 
 
-def read_events(spark: SparkSession, folder: str, name: str = "*.parquet") -> DataFrame:
-    schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+def read_table(spark: SparkSession, schema: str, path: str) -> DataFrame:
+    """A stream over a table of Parquet, be it one file or a folder of files."""
+    rows = spark.readStream.schema(schema)
+    if Files(spark).is_folder(path):
+        return rows.parquet(path)
+    folder, name = path.rsplit("/", 1)  # a stream reads no file but its folder
+    return rows.option("pathGlobFilter", name).parquet(folder)
+
+
+def read_events(spark: SparkSession, folder: str, name: str = "events.parquet") -> DataFrame:
+    return read_table(spark, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string", f"{folder}/{name}")

@@ -46,6 +46,15 @@ def test_query_against_sql(spark, duck, name):
     assert key(got) == key([[r[k] for k in order] for r in want])
 
 
+@pytest.mark.parametrize("name", ["stream_ingest", "stream_event_counts"])
+def test_streams_over_tables_of_many_files(spark, duck, tmp_path, name):
+    for t in ("conversations", "events"):
+        spark.read.parquet(f"{DATA}/{t}.parquet").repartition(3).write.parquet(f"{tmp_path}/{t}.parquet")
+    frame = QUERIES[name](spark, str(tmp_path))
+    key = lambda rows: sorted(str([plain(v) for v in r]) for r in rows)
+    assert key(frame.collect()) == key(duck.execute(f"SELECT {', '.join(frame.columns)} FROM ({ORACLE_SQL[name]})").fetchall())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
