@@ -7,14 +7,16 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, FloatType
 
 from tessera.functions import analysis
-from tessera.operators.fts import postings
+from tessera.operators.fts import blocks, postings
 from tessera.operators.relations import join_hot
+from tessera.sources.shared import shared_table
 
 
 #: Tokens of a table that a task may hold.
@@ -95,23 +97,53 @@ def embed_column(text: Column, embedder: Embedder, batch_size: int = 64) -> Colu
     return vectors(text)
 
 
-#: Rows of a token table up to which it is broadcast.
-BROADCAST_TOKENS = 500_000
+#: Numbers in a token table's vectors, and its rows, up to which every task holds it.
+HELD_NUMBERS, HELD_TOKENS = 8_000_000, 500_000
 
 
 def static_embedding(texts: DataFrame, table: DataFrame, dims: int) -> DataFrame:
-    """(id, embedding) of (id, text) from a table (token, vector; each token once) as a join, for tables too large for a task.
+    """(id, embedding) of (id, text) from a table (token, vector; each token once). Table and texts are computed once.
 
-    A text's equal tokens are one row with their number before anything is joined. Up to
-    BROADCAST_TOKENS the table is broadcast; beyond it the commonest tokens' rows are.
+    A table that a task may hold is looked up where the texts are split, so that a text gives one
+    row of sums and its tokens are never rows. A larger table is joined with the texts' tokens,
+    a text's equal ones as one row with their number, the commonest by broadcast. Rows of one id are one text.
     """
-    tokens = postings(texts, "simple").select(F.col("chunk_id").alias("id"), F.col("term").alias("token"), "tf")
-    if table.count() <= BROADCAST_TOKENS:
-        tokens = tokens.join(F.broadcast(table), "token")
+    sums = [f"d{d}" for d in range(dims)]
+    table = shared_table(table.select("token", "vector"), "tokens")
+    n = table.count()
+    if n <= HELD_TOKENS and n * dims <= HELD_NUMBERS:
+        rows = _sums(texts, table, dims, sums)
     else:
-        tokens = join_hot(tokens, table, "token")
-    weight = F.sum("tf")
-    sums = [(F.sum(F.col("tf") * F.get("vector", F.lit(d)).cast("double")) / weight).alias(f"d{d}") for d in range(dims)]
-    mean = tokens.groupBy("id").agg(*sums).select("id", F.array(*(f"d{d}" for d in range(dims))).alias("m"))
+        tokens = shared_table(postings(texts, "simple", places=False).select(F.col("chunk_id").alias("id"), F.col("term").alias("token"), "tf"), "counts")
+        rows = join_hot(tokens, table, "token").select("id", F.col("tf").alias("n"), *((F.col("tf") * F.coalesce(F.get("vector", F.lit(d)).cast("double"), F.lit(0.0))).alias(f) for d, f in enumerate(sums)))
+    mean = rows.groupBy("id").agg(F.sum("n").alias("n"), *(F.sum(f).alias(f) for f in sums)).select("id", F.array(*(F.col(f) / F.col("n") for f in sums)).alias("m"))
     length = F.sqrt(F.aggregate("m", F.lit(0.0), lambda s, x: s + x * x))
     return mean.select("id", F.when(length > 0, F.transform("m", lambda x: x / length)).alias("embedding"))
+
+
+def _sums(texts: DataFrame, table: DataFrame, dims: int, names: Sequence[str]) -> DataFrame:
+    """(id, n, ...) for each text with a known token: how many those are, and the sum of their vectors."""
+    spark = texts.sparkSession
+    held = table.where("token is not null").select("token", *(F.get("vector", F.lit(d)).cast("double").alias(f) for d, f in enumerate(names))).toArrow()
+    # A null in a vector adds nothing.
+    matrix = np.column_stack([held.column(f).combine_chunks().fill_null(0.0).to_numpy(zero_copy_only=False) for f in names]) if names else np.zeros((held.num_rows, 0))
+    sent = spark.sparkContext.broadcast((held.column("token").cast(pa.string()).combine_chunks(), matrix))
+    split = analysis.Splitter(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, matrix = sent.value
+        for b in batches:
+            for part in blocks(b, 1):
+                words, row = split(part.column(1))
+                words = words.dictionary_encode()
+                # The block's words are looked up, not its tokens.
+                found = pc.index_in(words.dictionary, tokens).fill_null(-1).to_numpy(zero_copy_only=False)
+                at = found[words.indices.to_numpy(zero_copy_only=False)]
+                row, at = row[at >= 0], at[at >= 0]
+                n = np.bincount(row, minlength=part.num_rows)
+                met = np.flatnonzero(n)
+                sums = [pa.array(np.bincount(row, matrix[at, d], part.num_rows)[met]) for d in range(dims)]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(met)), pa.array(n[met].astype(np.int64)), *sums], ["id", "n", *names])
+
+    rows = texts.select(F.col("id").cast("bigint").alias("id"), F.lower("text").alias("text")).where("text is not null")
+    return rows.mapInArrow(run, ", ".join(["id bigint", "n bigint", *(f"{f} double" for f in names)]))

@@ -30,43 +30,79 @@ from tessera.sources.shared import shared_folder, shared_table
 
 K1, B = 1.2, 0.75
 POSTINGS = "term string, chunk_id bigint, tf int, positions array<int>"
-#: Chunks whose terms a task groups together.
-ROWS_AT_ONCE = 1_000
+#: Chunks whose terms a task groups together, and bytes of their texts.
+ROWS_AT_ONCE, BYTES_AT_ONCE = 1_000, 512 << 10
 #: A table of fewer bytes than this for each core is spread over all of them before it is scanned.
 SPREAD_BYTES = 128 << 20
 DOC_STATS = "chunk_id bigint, dl int"
 
 
-def postings(chunks: DataFrame, analyzer: str = "english") -> DataFrame:
-    """(term, chunk_id, tf, positions) from (id, text). A chunk is one row, so nothing is shuffled."""
-    words = chunks.select(F.col("id").cast("bigint").alias("chunk_id"), analysis.terms(F.col("text"), "simple").alias("terms"))
+def postings(chunks: DataFrame, analyzer: str = "english", places: bool = True) -> DataFrame:
+    """(term, chunk_id, tf, positions) from (id, text), or without the positions. A chunk is one row, so nothing is shuffled.
+
+    Blocks of chunks come sorted by term and chunk.
+    """
+    if analyzer not in analysis.ANALYZERS:
+        raise ValueError(f"analyzer is one of {analysis.ANALYZERS}, not {analyzer!r}")
+    split = analysis.Splitter(chunks.sparkSession)
 
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, ROWS_AT_ONCE):
-                yield _grouped(b.slice(at, ROWS_AT_ONCE), analyzer)
+            for part in blocks(b, 1):
+                yield _grouped(part, analyzer, split, places)
+
+    texts = chunks.select(F.col("id").cast("bigint").alias("chunk_id"), F.lower("text").alias("text")).where("text is not null")
+    return texts.mapInArrow(grouped, POSTINGS if places else POSTINGS.rsplit(",", 1)[0])
+
+
+def vocabulary(texts: DataFrame) -> DataFrame:
+    """(term): each term of the simple analyzer in (text) once."""
+    split = analysis.Splitter(texts.sparkSession)
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            terms = [split(part.column(0))[0].unique() for part in blocks(b, 0)]
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(terms).unique() if terms else pa.array([], pa.string())], ["term"])
+
+    return texts.select(F.lower("text").alias("text")).where("text is not null").mapInArrow(found, "term string").distinct()
+
 
-    return words.where("terms is not null").mapInArrow(grouped, POSTINGS)
+def blocks(b: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of ROWS_AT_ONCE rows at most, and of about BYTES_AT_ONCE in the column of texts; a longer text is a part of its own."""
+    sizes = pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    total, at = np.cumsum(sizes), 0
+    while at < b.num_rows:
+        fit = int(np.searchsorted(total, (total[at - 1] if at else 0) + BYTES_AT_ONCE, side="right"))
+        to = min(max(fit, at + 1), at + ROWS_AT_ONCE)
+        yield b.slice(at, to - at)
+        at = to
 
 
-def _grouped(b: pa.RecordBatch, analyzer: str) -> pa.RecordBatch:
-    lists = b.column(1)
-    sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    words = lists.flatten().dictionary_encode()
+def _grouped(b: pa.RecordBatch, analyzer: str, split: analysis.Splitter, places: bool) -> pa.RecordBatch:
+    words, row = split(b.column(1))
+    words = words.dictionary_encode()
     code, names = words.indices.to_numpy(zero_copy_only=False).astype(np.int64), words.dictionary
     if analyzer == "english":
         stems = pa.array([analysis.stem(t) for t in names.to_pylist()], pa.string()).dictionary_encode()
         code, names = stems.indices.to_numpy(zero_copy_only=False).astype(np.int64)[code], stems.dictionary
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    position = np.arange(len(code)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    key = row * max(1, len(names)) + code
-    order = np.argsort(key, kind="stable")
-    first = np.flatnonzero(np.diff(key[order], prepend=-1))
-    ends = np.append(first[1:], len(order)) if len(first) else first
-    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), pa.array(position[order], pa.int32()))
-    return pa.RecordBatch.from_arrays(
-        [names.take(pa.array(code[order][first])).cast(pa.string()), b.column(0).take(pa.array(row[order][first])), pa.array(ends - first, pa.int32()), lists], ["term", "chunk_id", "tf", "positions"]
-    )
+    order = pc.sort_indices(names).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    ids = b.column(0)
+    rows = pc.sort_indices(ids).to_numpy()
+    place = np.empty(len(rows), np.int64)
+    place[rows] = np.arange(len(rows))
+    # One number for term, chunk and occurrence: its order is theirs.
+    bits = max(1, len(code).bit_length())
+    key = np.sort(((rank[code] * max(1, b.num_rows) + place[row]) << bits) | np.arange(len(code)))
+    at = key & ((1 << bits) - 1)
+    first = np.flatnonzero(np.diff(key >> bits, prepend=-1))
+    ends = np.append(first[1:], len(key)) if len(first) else first
+    columns = [names.take(pa.array(code[at[first]])).cast(pa.string()), ids.take(pa.array(row[at[first]])), pa.array(ends - first, pa.int32())]
+    if places:
+        begins = np.searchsorted(row, np.arange(b.num_rows))  # of each chunk's terms
+        columns.append(pa.ListArray.from_arrays(pa.array(np.append(first, len(key)), pa.int32()), pa.array(at - begins[row[at]], pa.int32())))
+    return pa.RecordBatch.from_arrays(columns, ["term", "chunk_id", "tf", "positions"][: len(columns)])
 
 
 def doc_stats(chunks: DataFrame, analyzer: str = "simple") -> DataFrame:
@@ -341,7 +377,7 @@ def search_many(chunks: DataFrame, queries: DataFrame, k: int, analyzer: str = "
 
 
 def _counts(chunks: DataFrame, terms: DataFrame, analyzer: str) -> DataFrame:
-    return postings(chunks, analyzer).select("chunk_id", "term", "tf").join(terms, "term", "left_semi")
+    return postings(chunks, analyzer, places=False).select("chunk_id", "term", "tf").join(terms, "term", "left_semi")
 
 
 def _scores(spark: SparkSession, words: DataFrame, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -179,7 +179,7 @@ _TOP = "ORDER BY s.score DESC, chunk_id LIMIT"
 
 @query("index_terms", f"WITH {_INDEX} SELECT term, count(*) AS df, sum(tf)::BIGINT AS occurrences FROM p GROUP BY term")
 def index_terms(spark: SparkSession, sf: str) -> DataFrame:
-    return fts.postings(documents(spark, sf), "simple").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("occurrences"))
+    return fts.postings(documents(spark, sf), "simple", places=False).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("occurrences"))
 
 
 @query("match_all", "SELECT doc_id AS chunk_id, 1.0::DOUBLE AS score FROM documents")
@@ -532,7 +532,7 @@ def static_embed(spark: SparkSession, sf: str) -> DataFrame:
     docs = documents(spark, sf)
     w = F.col("token")
     vector = F.array(F.length(w).cast("double"), (F.ascii(w) % 11).cast("double"), (F.ascii(F.right(w, F.lit(1))) % 13).cast("double"))
-    words = docs.select(F.explode(F.array_distinct(analysis.terms(F.col("text"), "simple"))).alias("token")).distinct().withColumn("vector", vector)
+    words = fts.vocabulary(docs).withColumnRenamed("term", "token").withColumn("vector", vector)
     out = E.static_embedding(docs.select("id", "text"), words, 3)
     return out.select("id", *(F.round(F.get("embedding", F.lit(k)), 6).alias(n) for k, n in enumerate("xyz")))
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.engine import Engine, percent
+from tessera.functions import embedding
 from tessera.functions import metavalue as M
 from tessera.functions.embedding import Fallback, StaticEmbedder, embed_query, static_embedding
 from tessera.operators.scoring import RelationshipBoost
@@ -165,6 +166,25 @@ def test_embedders(spark):
     assert got.keys() == {1} and got[1] == pytest.approx(e.embed(["red red apple"])[0].tolist())
 
 
+@pytest.mark.parametrize("held", [True, False], ids=["looked up", "joined"])
+def test_static_embedding_reads_the_texts_once(spark, monkeypatch, held):
+    """The same vectors by both ways; repeated ids are one text, nulls in vectors add nothing; the table is computed once."""
+    monkeypatch.setattr(embedding, "HELD_TOKENS", 10**6 if held else 0)
+    computed = spark.sparkContext.accumulator(0)
+
+    def note(batches):
+        for b in batches:
+            computed.add(b.num_rows)
+            yield b
+
+    words = spark.createDataFrame([("red", [1.0, 0.0, None]), ("apple", [0.0, 0.0, 1.0]), (None, [5.0, 5.0, 5.0]), ("zero", [0.0, 0.0, 0.0])], "token string, vector array<double>").mapInArrow(note, "token string, vector array<double>")
+    texts = spark.createDataFrame([(1, "red Red apple"), (2, "none"), (3, None), (4, "red"), (4, "apple"), (5, "zero"), (None, "red")], "id bigint, text string")
+    got = {r.id: r.embedding for r in static_embedding(texts, words, 3).collect()}
+    half = 0.5**0.5
+    assert got == {1: pytest.approx([2 / 5**0.5, 0, 1 / 5**0.5]), 4: pytest.approx([half, 0, half]), 5: None, None: [1.0, 0.0, 0.0]}
+    assert computed.value == 4
+
+
 def test_auto_embedding_and_rebuild(spark, tmp_path):
     e = Engine(spark, f"{tmp_path}/d", StaticEmbedder(TABLE))
     e.create_collection("t", embedding_dims=3)

@@ -3,7 +3,9 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.functions import analysis
 from tessera.operators import fts
@@ -182,3 +184,34 @@ def test_many_queries_at_once(spark, monkeypatch):
             spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
         assert got == {q: rows for q, rows in want.items() if rows}
     assert fts.search_many(chunks.where("false"), queries, 5, "simple").count() == 0 and fts.search_many(chunks, queries.where("false"), 5, "simple").count() == 0
+
+
+ODD = ["Red red APPLE", "", None, "  ", "İstanbul ΣΟΦΟΣ ß", "a" * 39 + " " + "b" * 40 + " c", "é" * 19 + " " + "é" * 20, "x²y ①٣ 中文字 😀🄰 e\u0301", "end", "begin-", "-", "a\u0000b\nc", "\U00010400\U0001d7d8"]
+
+
+def test_terms_are_split_alike_in_both_ways(spark):
+    """Texts are split in Arrow for postings and in the JVM for lengths and scans."""
+    rows = spark.createDataFrame(list(enumerate(ODD * 3)), "id bigint, text string")
+    want = {(r.id, t, k) for r in rows.select("id", analysis.terms(F.col("text"), "simple").alias("terms")).collect() for k, t in enumerate(r.terms or [])}
+    got = [(r.chunk_id, r.term, k) for r in fts.postings(rows, "simple").collect() for k in r.positions]
+    assert len(got) == len(want) and set(got) == want
+    counts = {(r.term, r.chunk_id, r.tf) for r in fts.postings(rows, "simple", places=False).collect()}
+    assert counts == {(r.term, r.chunk_id, r.tf) for r in fts.postings(rows, "simple").collect()}
+    assert sorted(r.term for r in fts.vocabulary(rows).collect()) == sorted({t for _, t, _ in want})
+
+
+def test_every_character_is_classed_alike(spark):
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    rows = spark.createDataFrame([(at, " ".join(map(chr, points[at : at + 5000]))) for at in range(0, len(points), 5000)], "id bigint, text string")
+    want = {(r.id, k): t for r in rows.select("id", analysis.terms(F.col("text"), "simple").alias("terms")).collect() for k, t in enumerate(r.terms)}
+    assert {(r.chunk_id, k): r.term for r in fts.postings(rows, "simple").collect() for k in r.positions} == want
+
+
+def test_blocks_are_bounded_and_whole(monkeypatch):
+    monkeypatch.setattr(fts, "BYTES_AT_ONCE", 10)
+    monkeypatch.setattr(fts, "ROWS_AT_ONCE", 3)
+    texts = ["a" * 30, "b", None, "c", "d", "e" * 9, "f", "", "g" * 11]
+    b = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["chunk_id", "text"])
+    parts = list(fts.blocks(b, 1))
+    assert [t for p in parts for t in p.column(1).to_pylist()] == texts
+    assert all(p.num_rows <= 3 and (p.num_rows == 1 or sum(len(t or "") for t in p.column(1).to_pylist()) <= 10) for p in parts)
