@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,5 +34,9 @@ def cosine(a: Column, query: Sequence[float]) -> Column:
 
 def normalised(a: Column) -> Column:
     """The vector at length 1; one without length stays."""
-    own = norm(a)
-    return F.when(own == 0, a.cast("array<double>")).otherwise(F.transform(a, lambda x: x.cast("double") / own)).cast("array<float>")
+    return _once(a, lambda v: _once(norm(v), lambda own: F.when(own == 0, v.cast("array<double>")).otherwise(F.transform(v, lambda x: x.cast("double") / own)))).cast("array<float>")
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once a row, however often and in whatever lambda it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

@@ -13,6 +13,7 @@ from threading import RLock
 from typing import Any
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -114,7 +115,7 @@ class Store:
         part = F.shiftright("__at", 33)
         sizes = held.groupBy(part.alias("part")).count().orderBy("part").collect()  # a row for each task
         starts = np.cumsum([first, *(r["count"] for r in sizes)])[:-1]
-        table = self.spark.createDataFrame([(r.part, int(s)) for r, s in zip(sizes, starts, strict=True)], "__part bigint, __start bigint")
+        table = self.spark.createDataFrame(pa.table({"__part": pa.array([r.part for r in sizes], pa.int64()), "__start": pa.array(starts, pa.int64())}))
         out = held.join(F.broadcast(table), part == F.col("__part"))
         return out.select((F.col("__start") + F.col("__at").bitwiseAND(F.lit(_ROW))).alias("id"), *rows.columns)
 
@@ -133,7 +134,7 @@ class Store:
         numbered = self.numbered(rows, c.next_id, f"{folder}/staged/{batch}")
         # Vectors first: one of a wrong size or an unknown space ends the ingest.
         for s, space in c.vector_spaces.items():
-            vectors = self._embedded(c, numbered, embed).select(F.col("id").alias("chunk_id"), V.normalised(F.col("embeddings")[s]).alias("embedding")).where("embedding is not null")
+            vectors = self._embedded(c, numbered, embed).select(F.col("id").alias("chunk_id"), F.col("embeddings")[s].alias("embedding")).where("embedding is not null").withColumn("embedding", V.normalised(F.col("embedding")))
             path = f"{folder}/vectors/{s}/v{space.version}/{batch}"
             self.catalog.files.delete(path)
             vectors.write.parquet(path)
@@ -179,9 +180,12 @@ class Store:
         return out.select("id", "embeddings")
 
     def _index(self, chunks: DataFrame, c: Collection, batch: str) -> None:
-        """Postings and lengths of a batch; postings are sorted by term, so that a query's terms meet few row groups."""
+        """Postings and lengths of a batch; each file's postings are sorted by term, so that a query's terms meet few pages of it.
+
+        Nothing is shuffled: the texts are analysed once, and no task meets all chunks of a common term.
+        """
         folder = self.catalog.folder(c.name)
-        fts.postings(chunks, c.config.get("analyzer", "english")).repartitionByRange("term").sortWithinPartitions("term", "chunk_id").write.parquet(f"{folder}/postings/{batch}")
+        fts.postings(chunks, c.config.get("analyzer", "english")).sortWithinPartitions("term", "chunk_id").write.parquet(f"{folder}/postings/{batch}")
         fts.doc_stats(chunks).write.parquet(f"{folder}/doc_stats/{batch}")
 
     def compact(self, c: Collection) -> Collection:
