@@ -87,12 +87,14 @@ def embed_column(text: Column, embedder: Embedder, batch_size: int = 64) -> Colu
     @arrow_udf(ArrayType(FloatType()))
     def vectors(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for b in batches:
-            texts, rows = b.to_pylist(), []
-            for at in range(0, len(texts), batch_size):
-                part = texts[at : at + batch_size]
-                for t, v in zip(part, np.asarray(embedder.embed([t or "" for t in part]), np.float32), strict=True):
-                    rows.append(v if t is not None and v.any() else None)
-            yield pa.array(rows, pa.list_(pa.float32()))
+            held = []
+            for at in range(0, len(b), batch_size):
+                texts = b.slice(at, batch_size)
+                found = np.asarray(embedder.embed(texts.fill_null("").to_pylist()), np.float32)
+                has = found.any(axis=1) & texts.is_valid().to_numpy(zero_copy_only=False)
+                ends = np.append(0, np.cumsum(has * found.shape[1]))
+                held.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found[has].ravel()), mask=pa.array(~has)))
+            yield pa.concat_arrays(held) if held else pa.array([], pa.list_(pa.float32()))
 
     return vectors(text)
 

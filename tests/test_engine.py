@@ -187,6 +187,12 @@ def test_static_embedding_reads_the_texts_once(spark, monkeypatch, held):
     assert computed.value == 4
 
 
+def test_embed_column_keeps_order_nulls_and_failures(spark):
+    rows = spark.createDataFrame([(1, "red"), (2, None), (3, "none"), (4, ""), (5, "apple"), (6, "green")], "id bigint, text string").coalesce(1)
+    got = [r.v for r in rows.select(embedding.embed_column(F.col("text"), StaticEmbedder(TABLE), 2).alias("v")).collect()]
+    assert got == [[1, 0, 0], None, None, None, [0, 0, 1], [0, 1, 0]]
+
+
 def test_a_term_of_all_chunks_is_spread_over_the_tasks(spark, engine):
     """Every file of postings is sorted, and none holds all chunks of a common term."""
     engine.create_collection("t", config={"analyzer": "simple"})
